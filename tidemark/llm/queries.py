@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, quality
+from tidemark.llm import ann, bpe, quality, toxicity
 from tidemark.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("evidence", F.transform("evidence", lambda x: x.id))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_filter(table(spark, sf_dir, "documents")).drop("host")
 
@@ -27,6 +32,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_matrix": op2_block_matrix,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op10_line_frequency": op10_line_frequency,
 }
 ORACLE: dict[str, str] = {
