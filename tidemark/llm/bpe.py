@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import pick
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their tokens in each Python worker, at most.
-KNOWN_WORDS = 400_000
+#: Each Python worker keeps at most twice as many words with their tokens, and as many neighbours.
+KNOWN_WORDS = 80_000
+KNOWN_PAIRS = 160_000
 #: Tokens decoded at a time.
 DECODE_TOKENS = 1 << 16
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -74,8 +75,9 @@ class WordBpe:
         for t, i in ids.items():
             self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         pieces = [(names.get(i, "") + " ").encode() for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
@@ -94,7 +96,7 @@ class WordBpe:
         right one as they grow; a rule that joins two of them runs if it comes before both are used up. Of equal
         ranks the left one runs first.
         """
-        key = (left, right)
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
             never = len(self.rank)
@@ -106,6 +108,8 @@ class WordBpe:
                 r, a, _ = self.made[edge_r[-1][0]]
                 edge_r.append((a, r))
             found = not any((r := self.rank.get((a, b), -1)) >= 0 and r < used_a and r <= used_b for a, used_a in edge_l for b, used_b in edge_r)
+            if len(self.fits) >= KNOWN_PAIRS:
+                self.fits.clear()
             self.fits[key] = found
         return found
 
@@ -153,12 +157,17 @@ class WordBpe:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(self.encode_word(w), "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            return b"".join([known[w] if w in known else self._learn(w) for w in words])
+
+    def _learn(self, word: str) -> bytes:
+        """Words that are met again stay; the others go when as many new ones have come."""
+        coded = self.older.get(word) or np.array(self.encode_word(word), "<u4").tobytes()
+        if len(self.known) >= KNOWN_WORDS:
+            self.older = self.known.copy()
+            self.known.clear()
+        if len(word) <= 64:
+            self.known[word] = coded
+        return coded
 
     def decode(self, ids: bytes) -> bytes:
         """The text of the ids, as UTF-8: the tokens with a space between."""
