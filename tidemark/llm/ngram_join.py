@@ -287,10 +287,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if more.take(1):
         # What is linked already enters as one edge from each node to its root.
         rooted = components(more.union(rooted.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    joined = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    roots = joined.where("root <> c").groupBy("root").agg(F.min("least_id").alias("root_id"))
-    ids = joined.join(roots, "root", "left").select("c", "class_size", F.least("least_id", "root_id").alias("by_root"), "root", "least_id")
+    linked = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "least_id")
+    smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    found = linked.join(smallest, "root").select("c", "component_id")
+    ids = classes.join(found, "c", "left").select("c", "class_size", F.coalesce("component_id", "least_id").alias("component_id"))
     return (
-        sets.join(ids.select("c", "class_size", F.col("by_root").alias("component_id")), "c", "left")
+        sets.join(ids, "c", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
     )
