@@ -31,6 +31,8 @@ from tidemark.llm.common import crc_remainder, pick
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 20_000
+#: Examples scored without themselves to calibrate the votes, evenly from all.
+CALIBRATE = 3000
 NEIGHBOURS = 15
 BLOCK = 64
 _words = re.compile(r"[^\W\d_]+").findall
@@ -54,7 +56,7 @@ class Index:
             self.bounds[t] = blocks, np.maximum.reduceat(weights, first)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest positive cosine: (cosine, example), nearest first, ties to the smaller example."""
+        """The k examples of the largest positive cosine: (cosine, example), nearest first, ties to the block opened first."""
         bound = np.zeros(-(-self.n // BLOCK))
         terms = [(t, q) for t, q in query.items() if t in self.postings]
         for t, q in terms:
@@ -63,7 +65,7 @@ class Index:
         found: list[tuple[float, int]] = []
         order = np.argsort(-bound, kind="stable")
         at = 0
-        while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] > found[k - 1][0] - 1e-12):
+        while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] > found[k - 1][0] + 1e-12):
             b = int(order[at])
             at += 1
             scores = np.zeros(BLOCK)
@@ -132,7 +134,7 @@ def _sample(labels: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, min_docs: int = 4, min_z: float = 3.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, min_docs: int = 4, min_z: float = 3.5, min_lift: float = 3.0, calibrate_on: int = CALIBRATE) -> Model:
     """docs: (id, text); labels: (id, y) of the rows to learn from."""
     chosen = docs.join(F.broadcast(_sample(labels, max_examples)), "id")
 
@@ -152,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     if not n0 + n1:
         return Model({}, Index(0, {}), np.zeros(0), [], 0.0, 0.0, np.zeros(0), np.zeros(0), k)
     share = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = F.abs(F.col("n1") / max(n1, 1) - F.col("n0") / max(n0, 1)) / F.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
+    # Words that stand clearly more often in texts of label 1, in share and beyond chance.
+    z = F.when(F.col("n1") * n0 >= min_lift * n1 * F.col("n0"), F.col("n1") / max(n1, 1) - F.col("n0") / max(n0, 1)) / F.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
     terms = sorted(r["w"] for r in counted.where("w <> ''").where(share < 1).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "w").limit(max_terms).collect())
     known = {w: i for i, w in enumerate(terms)}
 
@@ -184,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     prior = n1 / (n0 + n1)
     model = Model(idf, index, np.array([r["y"] for r in full], float), [r["id"] for r in full], prior, (sum(blank) + prior) / (len(blank) + 1), np.zeros(0), np.zeros(0), k)
     pairs = []
-    for i, r in enumerate(full):
+    for i in range(0, len(full), max(1, -(-len(full) // calibrate_on))):
+        r = full[i]
         near = index.nearest(dict(zip(r["t"], r["x"], strict=True)), k, without=i)
         if near:
             pairs.append((model.vote(near), r["y"]))
