@@ -212,7 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = cut(classes.select(C.dealt(classes, chunks, "least_id").alias("chunk"), F.col("least_id").alias("id"), "c"))
     texts = docs.withColumn("chunk", chunk)
 
-    def forward(key, docs: pa.Table, reps: pa.Table) -> pa.Table:
+    def forward(key, docs, reps):
         found = [t for _, _, _, t in _representatives(docs, _by_id(reps))]
         return C.sent(key[0].as_py(), *np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True), buckets)
 
@@ -234,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The representatives' ids go with the answers, as what a chunk gets must come from one side.
     back = cut(answers.select("chunk", "bucket", "answer", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("c")).union(reps.select("chunk", F.lit(-1), F.lit(None), "id", "c")))
 
-    def indexed(key, docs: pa.Table, back: pa.Table) -> pa.Table:
+    def indexed(key, docs, back):
         is_rep = pa.compute.equal(back.column("bucket"), -1)
         found = list(_representatives(docs, _by_id(back.filter(is_rep))))
         frequency, number = [], []

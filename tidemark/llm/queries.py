@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, ngram_join, quality, toxicity
+from tidemark.llm import ann, bpe, lm, ngram_join, quality, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_matrix": op2_block_matrix,
+    "op4_deleted_interpolation": op4_deleted_interpolation,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
