@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, lm, ngram_join, quality, toxicity
+from tidemark.llm import ann, bpe, chat, licenses, lm, ngram_join, quality, toxicity
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,13 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: a directory of a hundred ids in a directory of the source."""
+    docs = table(spark, sf_dir, "documents")
+    shard = F.floor(F.col("doc_id") / 100).cast("string")
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", shard, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +40,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("evidence", F.transform("evidence", lambda x: x.id))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation of an even id as chosen, with the next id's as rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = turns.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).alias("pair_id")).distinct()
+    pairs = pairs.select("pair_id", (2 * F.col("pair_id")).alias("chosen_id"), (2 * F.col("pair_id") + 1).alias("rejected_id"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ";")
+    return chat.preference_pairs(turns, pairs).withColumn("chosen_mask", spans("chosen_mask")).withColumn("rejected_mask", spans("rejected_mask"))
+
+
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_frequency_filter(table(spark, sf_dir, "documents")).drop("host")
 
@@ -40,9 +56,11 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_block_matrix": op2_block_matrix,
     "op4_deleted_interpolation": op4_deleted_interpolation,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_preference_format": op9_preference_format,
     "op10_line_frequency": op10_line_frequency,
 }
 ORACLE: dict[str, str] = {
@@ -57,4 +75,30 @@ ORACLE: dict[str, str] = {
             FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_preference_format": """
+        WITH t AS (
+            SELECT conv_id, turn, min({'role': coalesce(role, 'user'), 'text': coalesce(text, '')}) AS m
+            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+        o AS (SELECT conv_id, turn, m.role AS role, m.text AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t),
+        p AS (SELECT DISTINCT conv_id // 2 AS pair_id FROM o),
+        j AS (
+            SELECT coalesce(a.conv_id // 2, b.conv_id // 2) AS pair_id, coalesce(a.k, b.k) AS k,
+                   coalesce(a.role = b.role AND a.text = b.text, false) AS alike
+            FROM (SELECT * FROM o WHERE conv_id % 2 = 0) a FULL JOIN (SELECT * FROM o WHERE conv_id % 2 = 1) b
+              ON a.conv_id + 1 = b.conv_id AND a.k = b.k),
+        n AS (SELECT pair_id, coalesce(min(CASE WHEN NOT alike THEN k END) - 1, count(*)) AS n FROM j GROUP BY pair_id),
+        r AS (
+            SELECT o.*, n.pair_id, n.n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece
+            FROM o JOIN n ON o.conv_id // 2 = n.pair_id),
+        e AS (SELECT *, sum(CASE WHEN k > n THEN length(piece) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS stop FROM r),
+        c AS (
+            SELECT pair_id, conv_id % 2 AS side, any_value(n) AS n,
+                   coalesce(string_agg(CASE WHEN k <= n THEN piece END, '' ORDER BY k), '') AS prompt,
+                   coalesce(string_agg(CASE WHEN k > n THEN piece END, '' ORDER BY k), '') AS done,
+                   coalesce(string_agg(CASE WHEN k > n AND role = 'assistant' THEN (stop - length(text) - 8)::BIGINT::VARCHAR || '-' || (stop - 1)::BIGINT::VARCHAR END, ';' ORDER BY k), '') AS mask
+            FROM e GROUP BY pair_id, conv_id % 2)
+        SELECT p.pair_id, CAST(coalesce(a.n, b.n) AS INTEGER) AS n_prompt_turns, coalesce(a.prompt, '') AS prompt,
+               a.done AS chosen, a.mask AS chosen_mask, b.done AS rejected, b.mask AS rejected_mask,
+               coalesce(a.done <> b.done, false) AS is_preference
+        FROM p LEFT JOIN (SELECT * FROM c WHERE side = 0) a USING (pair_id) LEFT JOIN (SELECT * FROM c WHERE side = 1) b USING (pair_id)""",
 }
