@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, without waiting for a collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The texts of a column as UTF-8; null: empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,8 +10,9 @@ is extended, in pairs within a class; classes are finer for larger sets, by band
 2. Frequencies of all shingles are counted by chunks and buckets (see counts). Tokens of frequency 1 match nothing, so most
    documents need no index entry; the others keep their shared tokens under dense numbers.
 3. In each index list all members are verified against the smallest; components of these links are found by alternating
-   large and small stars. Then each member that is not in its list's largest component is verified against all members
-   of other components, so no link between components is missed, and links within a component add nothing.
+   large and small stars. Who is not in a list's largest component then is verified against one of its members, and who
+   is still outside against all members of other components, so no link between components is missed; links within a
+   component add nothing and are not looked for.
 
 Defined results: a set of fewer than 5 words is the whole sequence; empty and null texts have no set and are components of
 their own; a null id has no component id; repeated rows are alike; other columns are dropped. 64-bit hashes stand for
@@ -21,16 +22,14 @@ shingles. Nothing of the documents goes to the driver but counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import counts as C
-from tidemark.llm.common import cut, mix, pick, texts_in, word_hashes
+from tidemark.llm.common import cut, mix, pick, release, texts_in, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -84,7 +83,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _representatives(docs: pa.Table, reps: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of the documents of a chunk, one for each class: class keys, sizes, ends, tokens."""
-    docs = docs.filter(pa.compute.is_in(docs.column("id"), pa.array(reps, docs.schema.field("id").type)))
+    docs = docs.filter(pc.is_in(docs.column("id"), pa.array(reps, docs.schema.field("id").type)))
     seen: set[int] = set()
     ids = docs.column("id").to_pylist()
     for rows, tokens, i, j in shingle_sets(docs.column("text")):
@@ -231,14 +230,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table([pa.array(chunks, pa.int64()), pa.array([table.column("bucket")[0].as_py()] * len(chunks), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "bucket", "answer"])
 
     answers = texts.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(forward, C.SENT).groupBy("bucket").applyInArrow(total, C.ANSWER)
+    # (The keys' way back is checkpointed, so what was shuffled for it can go.)
     # The representatives' ids go with the answers, as what a chunk gets must come from one side.
     back = cut(answers.select("chunk", "bucket", "answer", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("c")).union(reps.select("chunk", F.lit(-1), F.lit(None), "id", "c")))
+    del answers
+    release(docs.sparkSession)
 
     def indexed(key, docs, back):
-        is_rep = pa.compute.equal(back.column("bucket"), -1)
+        is_rep = pc.equal(back.column("bucket"), -1)
         found = list(_representatives(docs, _by_id(back.filter(is_rep))))
         frequency, number = [], []
-        for _, a in C.in_order(back.filter(pa.compute.invert(is_rep))):
+        for _, a in C.in_order(back.filter(pc.invert(is_rep))):
             n = int.from_bytes(a[:8], "little")
             f = C.unpack_counts(a[8 : 8 + n])
             x = np.zeros(len(f), np.int64)
@@ -270,23 +272,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tokens = index.select("c", "n", "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        close = pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT).select("u", "v").distinct()
-        full = close.join(tokens.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v")
+        close = pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT).select("u", "v")
+        full = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tokens.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v")
         return cut(full.mapInArrow(_links, "u long, v long"))
 
-    links = verified(lists.where("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv")))
-    rooted = components(links)
-    placed = lists.select("e", "c", "n", "hub").join(rooted.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    sizes = placed.groupBy("e", "root").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("e").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("e", "largest")
-    open_lists = cut(placed.join(largest, "e"))
-    few = open_lists.where("root <> largest").select("e", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    # Members of the other components, once: two in the minority meet from the smaller side. Pairs with the list's hub are known.
-    rest = few.join(open_lists.select("e", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"), "largest", "hub"), "e").where("ru <> rv and (ru = largest or u < v) and u <> hub and v <> hub")
-    more = verified(rest.select("u", "v", "nu", "nv"))
-    if more.take(1):
-        # What is linked already enters as one edge from each node to its root.
-        rooted = components(more.union(rooted.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    def rooted_by(links: DataFrame) -> DataFrame:
+        """The index lists with the members' components, and of each list with several its largest."""
+        placed = lists.join(links.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        sizes = placed.groupBy("e", "root").agg(F.count("*").alias("k"), F.max_by(F.struct("c", "n"), F.xxhash64("c", "e")).alias("some"))
+        largest = sizes.groupBy("e").agg(F.max_by(F.struct("root", "some"), F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+        return cut(placed.join(largest, "e").select("e", "c", "n", "root", "members", "largest"))
+
+    def with_edges(more: DataFrame, rooted: DataFrame) -> DataFrame:
+        return components(more.union(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")))) if more.take(1) else rooted
+
+    outside = F.col("root") != F.col("largest.root")
+    # Against the smallest member of each list.
+    rooted = components(verified(lists.where("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"))))
+    # Who is not in the list's largest component yet, against one of its members, another in each list.
+    tried = rooted_by(rooted).where(outside).select(F.col("largest.some.c").alias("u"), F.col("c").alias("v"), F.col("largest.some.n").alias("nu"), F.col("n").alias("nv"))
+    rooted = with_edges(verified(tried), rooted)
+    # Who is still outside, against all members of other components: those of the shared lists, or whole components that
+    # share a list, whichever are fewer rows. Either way all pairs that could link are there.
+    still = rooted_by(rooted)
+    few = still.where(outside).select("e", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), "members")
+    met = few.join(still.groupBy("e", "root").agg(F.lit(1).alias("one")), "e").where("root <> rv").select("v", "nv", "root").distinct()
+    everyone = index.select("c", "n").join(rooted.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    costs = met.join(everyone.groupBy("root").agg(F.count("*").alias("size")), "root").groupBy("v").agg(F.sum("size").alias("by_roots"))
+    costs = cut(costs.join(few.groupBy("v").agg(F.sum("members").alias("by_lists")), "v").select("v", (F.col("by_lists") <= F.col("by_roots")).alias("lists")))
+    other = F.col("u").alias("u"), "v", F.col("nu"), "nv"
+    listed = few.join(costs.where("lists"), "v").join(still.select("e", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")), "e").where("ru <> rv").select(*other)
+    whole = met.join(costs.where("not lists"), "v").join(everyone.select("root", F.col("c").alias("u"), F.col("n").alias("nu")), "root").select(*other)
+    rooted = with_edges(verified(listed.union(whole)), rooted)
     linked = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = linked.join(smallest, "root").select("c", "component_id")
