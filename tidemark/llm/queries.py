@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, licenses, lm, ngram_join, quality, toxicity
+from tidemark.llm import ann, bpe, chat, licenses, lm, ngram_join, quality, secrets, toxicity
 from tidemark.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("secret_sha256", F.sha2("secret", 256)).drop("secret")
+
+
 def op2_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -54,6 +59,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_block_matrix": op2_block_matrix,
     "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_license_scan": op5_license_scan,
