@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, licenses, lm, ngram_join, quality, secrets, toxicity
+from tidemark.llm import ann, bpe, chat, licenses, lm, mixing, ngram_join, quality, secrets, toxicity
 from tidemark.llm.common import table
 
 
@@ -20,6 +21,21 @@ def op2_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+#: Domains of the labelled table, and the shares of tokens that each should have.
+DOMAINS = {"clean": 0.94, "noisy": 0.06}
+
+
+def domain_of_labels():
+    return F.when(F.col("quality") == 0, "noisy").when(F.col("quality") == 1, "clean")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates for the shares of DOMAINS at the present number of tokens."""
+    shares = list(DOMAINS.values())
+    mixed, _ = mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain_of_labels(), list(DOMAINS), lambda totals: totals.sum() * np.array(shares))
+    return mixed.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+
+
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.fit_and_score(table(spark, sf_dir, "documents"))
 
@@ -61,6 +77,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_block_matrix": op2_block_matrix,
+    "op3_mixing": op3_mixing,
     "op4_deleted_interpolation": op4_deleted_interpolation,
     "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard": op6_ngram_jaccard,

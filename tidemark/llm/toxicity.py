@@ -216,3 +216,17 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), scores, pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(evidence, kinds)], names=[id_col, "held_out", "score", "predicted", "evidence"])
 
     return rows.withColumn("held_out", held).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, evidence array<struct<id: {kind}, cosine: double, label: int>>")
+
+
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, held_out=None, **options) -> DataFrame:
+    """docs, all columns, without the documents that score ``threshold`` or more. The texts are read where they lie."""
+    rows = pick(docs, id=id_col, text=text_col)
+    held = F.coalesce(held_out if held_out is not None else crc_remainder("id", 5) == 0, F.lit(False))
+    model = fit(rows, pick(labels, id=id_col, y=label_col).where(~held), **options)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(x.as_py())[0] < threshold for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
