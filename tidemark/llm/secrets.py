@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick
 
 # Public formats of keys, and how secrets are assigned to names.
+ASSIGNED = r"(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
 PATTERN = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
     r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
@@ -29,7 +30,7 @@ PATTERN = (
     r"|\bAIza[0-9A-Za-z_-]{35}"
     r"|\bsk_(?:live|test)_[0-9A-Za-z]{16,}"
     r"|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"
-    r"|(?<=(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd)[\"']?\s{0,2}[:=]\s{0,2}[\"']{0,1})[^\s\"',;<>#]{6,}"
+    rf"|{ASSIGNED}[^\s\"',;<>#]{{6,}}"
     r"|\b(?=[A-Za-z_]{0,30}[0-9])(?=[0-9_]{0,30}[A-Za-z])[A-Za-z0-9_]{24,}\b"
 )
 KNOWN_FORM = r"^(?:-----BEGIN|(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|AIza|sk_(?:live|test)_|eyJ)"
@@ -55,10 +56,12 @@ def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None)
     rows = pick(df, **columns).where(F.col("text").rlike(PATTERN))
     path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_col else F.lit("")
     found = rows.select("id", path.alias("path"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits"), F.split("text", PATTERN, -1).alias("gaps"))
-    return found.select("id", "path", "hits", "gaps", F.posexplode("hits").alias("k", "secret")).select(
+    name = F.regexp_extract("hit", f"^{ASSIGNED}", 0)
+    return found.select("id", "path", "hits", "gaps", F.posexplode("hits").alias("k", "hit")).select(
         "id", "path",
-        (F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("hits", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x))).alias("start"),
-        "secret", F.substring(F.get("gaps", F.col("k")), -60, 60).alias("before"), F.substring(F.get("gaps", F.col("k") + 1), 1, 40).alias("after"),
+        (F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("hits", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)) + F.length(name)).alias("start"),
+        F.substr("hit", F.length(name) + 1).alias("secret"),
+        F.concat(F.substring(F.get("gaps", F.col("k")), -60, 60), name).alias("before"), F.substring(F.get("gaps", F.col("k") + 1), 1, 40).alias("after"),
     )
 
 
@@ -81,7 +84,7 @@ def featured(findings: DataFrame) -> DataFrame:
     return findings.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     """(path, before, secret, after, label): findings made by rule, half of them secrets, the same each time."""
     made = spark.range(0, n, 1, 1)
     h = lambda k: F.sha2(F.concat_ws(":", F.lit(k), F.col("id").cast("string")), 256)
@@ -113,7 +116,7 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     )
 
 
-def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
+def fit(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> PipelineModel:
     """Trains on labelled findings (path, before, secret, after, label)."""
     rows = featured(labelled.where("secret is not null and label is not null").select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("before", F.lit("")).alias("before"), "secret", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probabilities")
