@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import counts as C
@@ -35,6 +35,10 @@ WORDS = 5
 PERCENT = 75
 #: Tokens in more documents than this are frequent: they are indexed in pairs.
 RARE = 64
+#: Members and askers of a component in a block.
+MEMBERS, ASKERS = 256, 64
+#: Entries of a set that tell which list of several in common is the first.
+FIRST = 16
 _STEPS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
@@ -177,6 +181,52 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def could_link(u: Column, v: Column) -> Column:
+    """Whether sizes allow a link: the overlap has to be at least PERCENT / (100 + PERCENT) of both sizes together, and
+    is at most the number of tokens that either shares with any other set."""
+    return (F.least(u["n"], v["n"]) * 100 >= F.greatest(u["n"], v["n"]) * PERCENT) & (F.least(u["m"], v["m"]) * (100 + PERCENT) >= (u["n"] + v["n"]) * PERCENT)
+
+
+def _against_components(asked: DataFrame, everyone: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(v, root) and the members (x, tokens, root) of all components to a link (u, v) for each v and block of members.
+
+    Members and askers of a component meet in blocks, so that the pairs are never rows; one link joins the components.
+    """
+    sized = everyone.join(sizes, "root")
+    packed = lambda rows, x, size, name: (
+        rows.withColumn("_b", F.pmod(F.xxhash64(x["c"]), F.ceil(F.col("size") / size).cast("long")))
+        .groupBy("root", "_b").agg(F.collect_list(F.struct(x["c"].alias("c"), x["n"].alias("n"), x["m"].alias("m"), F.col("tokens"))).alias(name)).drop("_b")
+    )
+    tokens = everyone.select(F.col("x.c").alias("_c"), "tokens")
+    askers = asked.join(tokens, F.col("v.c") == F.col("_c")).join(asked.groupBy("root").agg(F.count("*").alias("size")), "root")
+    members = packed(sized.join(asked.select("root").distinct(), "root", "left_semi"), F.col("x"), MEMBERS, "members")
+    return packed(askers, F.col("v"), ASKERS, "askers").join(members, "root").select("askers", "members").mapInArrow(_block_links, "u long, v long")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for askers, members in zip(batch.column("askers"), batch.column("members"), strict=True):
+            us, vs = [], []
+            members = members.as_py()
+            keys = [C.unpack_keys(x["tokens"]) for x in members]
+            n, m = (np.array([x[k] for x in members], np.int64) for k in ("n", "m"))
+            length = np.array([len(k) for k in keys])
+            at = np.concatenate([[0], np.cumsum(length)[:-1]])
+            joined = np.concatenate(keys)
+            for v in askers.as_py():
+                mine = C.unpack_keys(v["tokens"])
+                fits = (np.minimum(n, v["n"]) * 100 >= np.maximum(n, v["n"]) * PERCENT) & (np.minimum(m, v["m"]) * (100 + PERCENT) >= (n + v["n"]) * PERCENT)
+                if not fits.any():
+                    continue
+                place = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
+                shared = np.add.reduceat((mine[place] == joined).astype(np.int64), at)
+                linked = np.flatnonzero(fits & (100 * shared >= PERCENT * (n + v["n"] - shared)))
+                if len(linked):
+                    us.append(members[linked[0]]["c"])
+                    vs.append(v["c"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v) to (node, root) of every node in a link, by alternating large and small stars; the root is the smallest node."""
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -247,7 +297,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x[f > 1] = np.frombuffer(a, "<u8", offset=8 + n).astype(np.int64)
             frequency.append(f)
             number.append(x)
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         if found:
             place = np.unique(np.concatenate([t for *_, t in found]), return_inverse=True)[1]
             f, x = np.concatenate(frequency)[place], np.concatenate(number)[place]
@@ -261,49 +311,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 order = np.lexsort((own[mine > 1], mine[mine > 1]))
                 own = own[mine > 1][order]
                 entries = prefix_entries(n, alone, mine[mine > 1][order], own, rare)
-                for column, value in zip(out, (c, n, pack_tokens(own), entries.view(np.int64)), strict=True):
+                for column, value in zip(out, (c, n, len(own), pack_tokens(own), np.sort(entries.view(np.int64))), strict=True):
                     column.append(value)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], names=["c", "n", "tokens", "entries"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.int64()))], names=["c", "n", "m", "tokens", "entries"])
 
-    index = cut(texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(indexed, "c long, n long, tokens binary, entries array<long>"))
-    lists = index.select("c", "n", F.explode("entries").alias("e"))
+    index = cut(texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(indexed, "c long, n long, m long, tokens binary, entries array<long>"))
+    item = lambda c, n, m: F.struct(F.col(c).alias("c"), F.col(n).alias("n"), F.col(m).alias("m"))
+    lists = index.select("c", "n", "m", F.explode("entries").alias("e"))
     # Lists of one member hold no pair.
-    lists = cut(lists.join(lists.groupBy("e").agg(F.min("c").alias("hub"), F.min_by("n", "c").alias("hub_n"), F.count("*").alias("members")).where("members > 1"), "e"))
+    lists = cut(lists.join(lists.groupBy("e").agg(F.min(item("c", "n", "m")).alias("hub"), F.count("*").alias("members")).where("members > 1"), "e"))
     tokens = index.select("c", "n", "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        close = pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * PERCENT).select("u", "v")
-        full = close.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tokens.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v")
+        """(u, v) as structs of key, size and shared tokens to the pairs that link."""
+        close = pairs.where(could_link(F.col("u"), F.col("v"))).select(F.least("u.c", "v.c").alias("u"), F.greatest("u.c", "v.c").alias("v")).distinct()
+        full = close.join(tokens.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u").join(tokens.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v")
         return cut(full.mapInArrow(_links, "u long, v long"))
 
     def rooted_by(links: DataFrame) -> DataFrame:
-        """The index lists with the members' components, and of each list with several its largest."""
+        """The index lists with the members' components, of those that have several, and the largest of each."""
         placed = lists.join(links.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        sizes = placed.groupBy("e", "root").agg(F.count("*").alias("k"), F.max_by(F.struct("c", "n"), F.xxhash64("c", "e")).alias("some"))
+        sizes = placed.groupBy("e", "root").agg(F.count("*").alias("k"), F.max_by(item("c", "n", "m"), F.xxhash64("c", "e")).alias("some"))
         largest = sizes.groupBy("e").agg(F.max_by(F.struct("root", "some"), F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-        return cut(placed.join(largest, "e").select("e", "c", "n", "root", "members", "largest"))
+        return cut(placed.join(largest, "e").select("e", item("c", "n", "m").alias("x"), "root", "members", "largest"))
 
     def with_edges(more: DataFrame, rooted: DataFrame) -> DataFrame:
         return components(more.union(rooted.select(F.col("node").alias("u"), F.col("root").alias("v")))) if more.take(1) else rooted
 
     outside = F.col("root") != F.col("largest.root")
     # Against the smallest member of each list.
-    rooted = components(verified(lists.where("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v"), F.col("hub_n").alias("nu"), F.col("n").alias("nv"))))
+    rooted = components(verified(lists.where("c <> hub.c").select(F.col("hub").alias("u"), item("c", "n", "m").alias("v"))))
     # Who is not in the list's largest component yet, against one of its members, another in each list.
-    tried = rooted_by(rooted).where(outside).select(F.col("largest.some.c").alias("u"), F.col("c").alias("v"), F.col("largest.some.n").alias("nu"), F.col("n").alias("nv"))
-    rooted = with_edges(verified(tried), rooted)
-    # Who is still outside, against all members of other components: those of the shared lists, or whole components that
-    # share a list, whichever are fewer rows. Either way all pairs that could link are there.
+    rooted = with_edges(verified(rooted_by(rooted).where(outside).select(F.col("largest.some").alias("u"), F.col("x").alias("v"))), rooted)
+    # Who is still outside, against all members of other components: those of the shared lists, or, if these are fewer,
+    # all members of the components that share a list. Either way all pairs that could link are there.
     still = rooted_by(rooted)
-    few = still.where(outside).select("e", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"), "members")
-    met = few.join(still.groupBy("e", "root").agg(F.lit(1).alias("one")), "e").where("root <> rv").select("v", "nv", "root").distinct()
-    everyone = index.select("c", "n").join(rooted.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    costs = met.join(everyone.groupBy("root").agg(F.count("*").alias("size")), "root").groupBy("v").agg(F.sum("size").alias("by_roots"))
-    costs = cut(costs.join(few.groupBy("v").agg(F.sum("members").alias("by_lists")), "v").select("v", (F.col("by_lists") <= F.col("by_roots")).alias("lists")))
-    other = F.col("u").alias("u"), "v", F.col("nu"), "nv"
-    listed = few.join(costs.where("lists"), "v").join(still.select("e", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")), "e").where("ru <> rv").select(*other)
-    whole = met.join(costs.where("not lists"), "v").join(everyone.select("root", F.col("c").alias("u"), F.col("n").alias("nu")), "root").select(*other)
-    rooted = with_edges(verified(listed.union(whole)), rooted)
+    few = still.where(outside).select("e", F.col("x").alias("v"), F.col("root").alias("rv"), "members")
+    met = few.join(still.groupBy("e", "root").agg(F.lit(1).alias("one")), "e").where("root <> rv").select("v", "root").distinct()
+    everyone = index.select(item("c", "n", "m").alias("x"), "tokens").join(rooted.select(F.col("node").alias("c"), "root"), F.col("x.c") == F.col("c"), "left").select("x", "tokens", F.coalesce("root", "x.c").alias("root"))
+    sizes = everyone.groupBy("root").agg(F.count("*").alias("size"))
+    costs = met.join(sizes, "root").groupBy("v").agg(F.sum("size").alias("by_roots")).join(few.groupBy("v").agg(F.sum("members").alias("by_lists")), "v")
+    costs = cut(costs.select("v", (F.col("by_lists") <= F.col("by_roots")).alias("lists")))
+    # A pair comes from the first list that both are in, as far as the first entries tell.
+    first = index.select("c", F.slice("entries", 1, FIRST).alias("first"))
+    known = lambda rows, x: rows.join(first.withColumnRenamed("c", "_c"), F.col(f"{x}.c") == F.col("_c")).drop("_c")
+    a = known(few.join(costs.where("lists"), "v"), "v").select("e", "v", "rv", F.filter("first", lambda y: y < F.col("e")).alias("fv"))
+    b = known(still.select("e", F.col("x").alias("u"), F.col("root").alias("ru")), "u").select("e", "u", "ru", F.filter("first", lambda y: y < F.col("e")).alias("fu"))
+    listed = a.join(b, (a["e"] == b["e"]) & (F.col("ru") != F.col("rv")) & could_link(F.col("u"), F.col("v")) & ~F.arrays_overlap("fu", "fv")).select("u", "v")
+    more = verified(listed).union(_against_components(met.join(costs.where("not lists"), "v").select("v", "root"), everyone, sizes))
+    rooted = with_edges(cut(more), rooted)
     linked = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = linked.join(smallest, "root").select("c", "component_id")
