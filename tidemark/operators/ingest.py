@@ -35,7 +35,9 @@ def normalize_trades(raw: DataFrame) -> DataFrame:
 
 def page_items(pages: DataFrame, body: str, item_schema: str) -> DataFrame:
     """Items and next cursor of JSON envelopes: data as a list, or data.items or data.rows."""
-    items = [F.from_json(F.get_json_object(body, p), f"array<{item_schema}>") for p in ("$.data", "$.data.items", "$.data.rows")]
+    # An object read as a list would be a list of one, so only lists are read.
+    found = [F.get_json_object(body, p) for p in ("$.data", "$.data.items", "$.data.rows")]
+    items = [F.when(x.startswith("["), F.from_json(x, f"array<{item_schema}>")) for x in found]
     cursor = F.coalesce(F.get_json_object(body, "$.next_cursor"), F.get_json_object(body, "$.nextCursor"))
     return pages.select(cursor.alias("next_cursor"), F.explode(F.coalesce(*items)).alias("item")).select("next_cursor", "item.*")
 

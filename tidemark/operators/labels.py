@@ -18,7 +18,7 @@ def resolution_evidence(markets: DataFrame, expected: Column | None = None) -> D
     """
     strings = lambda c: F.from_json(c, "array<string>")
     o, p, t = (strings(F.col(c)) for c in ("outcomes", "outcome_prices", "token_ids"))
-    outs, toks = F.transform(o, F.trim), F.transform(t, F.trim)
+    outs, toks = F.transform(o, lambda x: F.trim(x)), F.transform(t, lambda x: F.trim(x))
     prices = F.transform(p, lambda x: x.try_cast("decimal(38,18)"))
     quoted = lambda c: ~F.coalesce(F.col(c).rlike(r"^\s*\[(?:\s*\"(?:[^\"\\]|\\.)*\"\s*,?)*\s*\]\s*$"), F.lit(False))
     status = F.nullif(F.lower(F.trim("status")), F.lit(""))
@@ -31,12 +31,12 @@ def resolution_evidence(markets: DataFrame, expected: Column | None = None) -> D
         .when(quoted("outcomes"), "invalid_outcomes").when(quoted("token_ids"), "invalid_clob_tokens").when(F.exists(prices, lambda x: x.isNull()), "invalid_outcome_prices")
         .when((F.size(outs) == 0) | (F.size(outs) != F.size(prices)) | (F.size(outs) != F.size(toks)), "outcome_length_mismatch")
         .when(F.exists(outs, lambda x: x == ""), "empty_outcome").when(F.exists(toks, lambda x: x == ""), "empty_clob_token")
-        .when(distinct(F.transform(outs, F.lower)), "duplicate_outcomes").when(distinct(toks), "duplicate_clob_tokens")
+        .when(distinct(F.transform(outs, lambda x: F.lower(x))), "duplicate_outcomes").when(distinct(toks), "duplicate_clob_tokens")
         .when((ones != 1) | F.exists(prices, lambda x: (x != 0) & (x != 1)), "ambiguous_outcome_prices")
         .when(status.isNotNull() & (status != "resolved"), "nonterminal_resolution").otherwise("terminal_outcome_prices")
     )
     rows = markets.withColumn("quality", quality).withColumn("terminal", F.col("quality") == "terminal_outcome_prices")
-    return rows.withColumn("winner", F.when("terminal", F.array_position(prices, F.lit(1).cast("decimal(38,18)")) - 1).cast("int"))
+    return rows.withColumn("winner", F.when(F.col("terminal"), F.array_position(prices, F.lit(1).cast("decimal(38,18)")) - 1).cast("int"))
 
 
 def dispute_flag(*values: Column) -> Column:
