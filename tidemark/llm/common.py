@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -51,10 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, without waiting for a collection."""
-    for _ in range(3):  # the driver's references go in turns: Python's first, then the JVM's to what these held
+    sc = spark.sparkContext
+    for _ in range(4):  # references go in turns: Python's, then those of events about the plan, then the JVM's to what these held
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        with contextlib.suppress(Exception):  # events that are late only delay the files' end
+            sc._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        sc._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
