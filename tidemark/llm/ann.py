@@ -8,7 +8,7 @@ merged by a heap while they stream by query. The bounds are strict, so the resul
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
 the same dimension meet; ties go to the smaller id; rows with a repeated id are candidates of their own, but never of a
-query with that id; other columns are dropped. Memory follows the block size, not the table.
+query with that id, and such an id asks once, with its least vector; other columns are dropped. Memory follows the block size, not the table.
 """
 
 from __future__ import annotations
@@ -141,14 +141,15 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     # Blocks gather the rows of a few partitions, so that there are few small ones.
     packed = lambda x, n: x.repartition(max(1, min(200, -(-n // block))), "id").mapInArrow(_pack, _PACKED)
     columns = packed(rows, counts["n"]).withColumn("down", dealt(down)).withColumn("across", grid(across))
-    asked = packed(rows.where(query), counts["q"]).withColumn("across", dealt(across)).withColumn("down", grid(down))
+    asked = packed(rows.where(query).groupBy("id").agg(F.min("v").alias("v")), counts["q"]).withColumn("across", dealt(across)).withColumn("down", grid(down))
 
-    def cell_of(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = list(_search(queries, candidates, k)) if len(queries) and len(candidates) else []
-        return pd.DataFrame({"query_id": [i for i, _ in found], "ids": [[-x for _, x in h] for _, h in found], "scores": [[s for s, _ in h] for _, h in found]})
+    def cell_of(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        found = list(_search(queries.to_pandas(), candidates.to_pandas(), k)) if queries.num_rows and candidates.num_rows else []
+        columns = [pa.array([i for i, _ in found], pa.int64()), pa.array([[-x for _, x in h] for _, h in found], pa.list_(pa.int64())), pa.array([[s for s, _ in h] for _, h in found], pa.list_(pa.float64()))]
+        return pa.table(columns, names=["query_id", "ids", "scores"])
 
     key = ["dim", "down", "across"]
-    lists = columns.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(cell_of, "query_id long, ids array<long>, scores array<double>")
+    lists = columns.groupBy(key).cogroup(asked.groupBy(key)).applyInArrow(cell_of, "query_id long, ids array<long>, scores array<double>")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def best(i: int, parts: list) -> pa.RecordBatch:
