@@ -1,0 +1,58 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import secrets as S
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def rows():
+    return [
+        (1, f'words token = "{HEX}" more words', "src1"), (2, "key AKIA" + "ABCDEFGHIJ234567 end", "src/app"), (3, "password=${SECRET_TOKEN} and secret: your_api_key_here", "docs/example"),
+        (4, f"see commit {HEX} for the checksum", "src1"), (5, None, "x"), (6, "", "x"), (7, "plain words only", None), (8, f'token = "{HEX}" ' * 3, "s"), (9, "y" * 100000 + f' password={HEX[:12]}' + "z " * 50000, "s"),
+    ]
+
+
+def test_findings(spark):
+    data = rows()
+    df = spark.createDataFrame([(*r, True) for r in data], "doc_id long, text string, source string, is_secret boolean")
+    got = S.scan(df).collect()
+    text = {i: t for i, t, _ in data}
+    for r in got:
+        assert text[r.doc_id][r.start : r.start + r.length] == r.secret
+    verdict = {}
+    for r in got:
+        verdict.setdefault(r.doc_id, []).append(r.is_secret)
+    assert verdict[1] == verdict[2] == [True] and verdict[8] == [True] * 3 and verdict[9] == [True] and verdict[4] == [False] and not any(verdict[3])
+    assert set(verdict) == {1, 2, 3, 4, 8, 9}
+    assert S.scan(df.limit(0)).count() == 0
+
+
+def test_candidates_are_the_patterns_matches(spark):
+    df = spark.createDataFrame([r[:2] for r in rows()], "doc_id long, text string")
+    got = sorted((r.id, r.start, r.secret) for r in S.candidates(df, "doc_id", "text", None).collect())
+    want = []
+    for i, t, _ in rows():
+        for m in re.finditer(S.PATTERN, t or ""):
+            name = re.match(S.ASSIGNED, m[0])
+            k = name.end() if name else 0
+            want.append((i, m.start() + k, m[0][k:]))
+    assert got == sorted(want)
+
+
+def test_redaction_keeps_rows_and_columns(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    out = S.redact(df)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == df.columns and len(got) == len(rows())
+    assert got[1] == f'words token = "{S.MARK}" more words' and HEX not in got[8] and got[4] == rows()[3][1] and got[5] is None and got[6] == ""
+
+
+def test_forest_on_findings_that_it_has_not_seen(spark):
+    found = S.labelled_findings(spark)
+    apart = F.pmod(F.xxhash64("secret"), F.lit(5)) == 0
+    model = S.fit(found.where(~apart))
+    scored = model.transform(S.featured(found.where(apart)))
+    right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95

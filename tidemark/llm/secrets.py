@@ -105,7 +105,8 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
         .when(kind == 5, F.concat_ws(".", word("u"), word("v"), word("w"))).when(kind == 6, F.concat(word("x"), F.lit("-"), word("y"))).when(kind == 7, F.concat_ws("/", word("z"), word("0"), word("1")))
         .when(kind == 8, F.concat(word("2"), F.initcap(word("3")), F.initcap(word("4")), F.initcap(word("5")), digits("5", 2))).otherwise(F.regexp_replace(h("6"), "[a-f]", "0"))
     )
-    secret_before = F.concat(word("7"), F.lit(" "), pickone("8", ["token = \"", "password=", "api_key: ", "secret: \"", "access_key=", "pwd = '", "credential: ", "auth token: "]))
+    # Keys of a known form need no name beside them.
+    secret_before = F.when((kind <= 1) & (F.pmod(F.xxhash64(F.lit("bare"), "id"), F.lit(4)) > 0), F.concat(word("7"), F.lit(" "), pickone("8'", ["key ", "use ", "the ", "with ", ""]))).otherwise(F.concat(word("7"), F.lit(" "), pickone("8", ["token = \"", "password=", "api_key: ", "secret: \"", "access_key=", "pwd = '", "credential: ", "auth token: "])))
     harmless_before = F.when(kind.isin(1, 2, 3, 9), F.concat(word("9"), F.lit(" "), pickone("A", ["commit ", "sha256: ", "checksum ", "etag = ", "digest: ", "example token ", "build ", "revision: ", "test hash = "]))).otherwise(
         F.concat(word("B"), F.lit(" "), pickone("C", ["token = ", "password: ", "secret = ", "api_key=", "name: ", "key = ", "for ", "the "]))
     )
