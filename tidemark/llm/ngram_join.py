@@ -35,7 +35,7 @@ WORDS = 5
 PERCENT = 75
 #: Tokens in more documents than this are frequent: they are indexed in pairs.
 RARE = 64
-#: Members and askers of a component in a block.
+#: Members and askers of a cluster in a block.
 MEMBERS, ASKERS = 256, 64
 #: Entries of a set that tell which list of several in common is the first.
 FIRST = 16
@@ -187,20 +187,21 @@ def could_link(u: Column, v: Column) -> Column:
     return (F.least(u["n"], v["n"]) * 100 >= F.greatest(u["n"], v["n"]) * PERCENT) & (F.least(u["m"], v["m"]) * (100 + PERCENT) >= (u["n"] + v["n"]) * PERCENT)
 
 
-def _against_components(asked: DataFrame, everyone: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(v, root) and the members (x, tokens, root) of all components to a link (u, v) for each v and block of members.
+def _within_clusters(asked: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Askers (v, rv, cluster) and members (x, root, cluster, size) to a link (u, v) for each asker, block of members of its
+    cluster and other component.
 
-    Members and askers of a component meet in blocks, so that the pairs are never rows; one link joins the components.
+    Askers and members meet in blocks, so that the pairs are never rows.
     """
-    sized = everyone.join(sizes, "root")
-    packed = lambda rows, x, size, name: (
-        rows.withColumn("_b", F.pmod(F.xxhash64(x["c"]), F.ceil(F.col("size") / size).cast("long")))
-        .groupBy("root", "_b").agg(F.collect_list(F.struct(x["c"].alias("c"), x["n"].alias("n"), x["m"].alias("m"), F.col("tokens"))).alias(name)).drop("_b")
-    )
-    tokens = everyone.select(F.col("x.c").alias("_c"), "tokens")
-    askers = asked.join(tokens, F.col("v.c") == F.col("_c")).join(asked.groupBy("root").agg(F.count("*").alias("size")), "root")
-    members = packed(sized.join(asked.select("root").distinct(), "root", "left_semi"), F.col("x"), MEMBERS, "members")
-    return packed(askers, F.col("v"), ASKERS, "askers").join(members, "root").select("askers", "members").mapInArrow(_block_links, "u long, v long")
+    tokens = tokens.select(F.col("c").alias("_c"), "tokens")
+
+    def packed(rows: DataFrame, x: str, root: str, size: int, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.col(f"{x}.c")), F.ceil(F.col("size") / size).cast("long"))
+        full = rows.join(tokens, F.col(f"{x}.c") == F.col("_c")).withColumn("_b", block)
+        return full.groupBy("cluster", "_b").agg(F.collect_list(F.struct(f"{x}.c", f"{x}.n", f"{x}.m", F.col(root).alias("root"), "tokens")).alias(name)).drop("_b")
+
+    askers = packed(asked.join(asked.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "v", "rv", ASKERS, "askers")
+    return askers.join(packed(members.join(asked.select("cluster").distinct(), "cluster", "left_semi"), "x", "root", MEMBERS, "members"), "cluster").select("askers", "members").mapInArrow(_block_links, "u long, v long")
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,20 +210,20 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             us, vs = [], []
             members = members.as_py()
             keys = [C.unpack_keys(x["tokens"]) for x in members]
-            n, m = (np.array([x[k] for x in members], np.int64) for k in ("n", "m"))
+            n, m, root = (np.array([x[k] for x in members], np.int64) for k in ("n", "m", "root"))
             length = np.array([len(k) for k in keys])
             at = np.concatenate([[0], np.cumsum(length)[:-1]])
             joined = np.concatenate(keys)
             for v in askers.as_py():
                 mine = C.unpack_keys(v["tokens"])
-                fits = (np.minimum(n, v["n"]) * 100 >= np.maximum(n, v["n"]) * PERCENT) & (np.minimum(m, v["m"]) * (100 + PERCENT) >= (n + v["n"]) * PERCENT)
+                fits = (root != v["root"]) & (np.minimum(n, v["n"]) * 100 >= np.maximum(n, v["n"]) * PERCENT) & (np.minimum(m, v["m"]) * (100 + PERCENT) >= (n + v["n"]) * PERCENT)
                 if not fits.any():
                     continue
                 place = np.minimum(np.searchsorted(mine, joined), len(mine) - 1)
                 shared = np.add.reduceat((mine[place] == joined).astype(np.int64), at)
                 linked = np.flatnonzero(fits & (100 * shared >= PERCENT * (n + v["n"] - shared)))
-                if len(linked):
-                    us.append(members[linked[0]]["c"])
+                for k in linked[np.unique(root[linked], return_index=True)[1]]:
+                    us.append(members[k]["c"])
                     vs.append(v["c"])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
@@ -344,21 +345,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Who is not in the list's largest component yet, against one of its members, another in each list.
     rooted = with_edges(verified(rooted_by(rooted).where(outside).select(F.col("largest.some").alias("u"), F.col("x").alias("v"))), rooted)
     # Who is still outside, against all members of other components: those of the shared lists, or, if these are fewer,
-    # all members of the components that share a list. Either way all pairs that could link are there.
+    # all that shared lists connect. Either way all pairs that could link are there.
     still = rooted_by(rooted)
     few = still.where(outside).select("e", F.col("x").alias("v"), F.col("root").alias("rv"), "members")
-    met = few.join(still.groupBy("e", "root").agg(F.lit(1).alias("one")), "e").where("root <> rv").select("v", "root").distinct()
-    everyone = index.select(item("c", "n", "m").alias("x"), "tokens").join(rooted.select(F.col("node").alias("c"), "root"), F.col("x.c") == F.col("c"), "left").select("x", "tokens", F.coalesce("root", "x.c").alias("root"))
-    sizes = everyone.groupBy("root").agg(F.count("*").alias("size"))
-    costs = met.join(sizes, "root").groupBy("v").agg(F.sum("size").alias("by_roots")).join(few.groupBy("v").agg(F.sum("members").alias("by_lists")), "v")
-    costs = cut(costs.select("v", (F.col("by_lists") <= F.col("by_roots")).alias("lists")))
+    reach = components(still.groupBy("e").agg(F.min("x.c").alias("u")).join(still.select("e", F.col("x.c").alias("v")), "e").select("u", "v"))
+    sizes = reach.groupBy(F.col("root").alias("cluster")).agg(F.count("*").alias("size"))
+    clustered = still.select("x", "root").distinct().join(reach.select(F.col("node").alias("_n"), F.col("root").alias("cluster")), F.col("x.c") == F.col("_n")).drop("_n").join(sizes, "cluster")
+    costs = few.groupBy("v", "rv").agg(F.sum("members").alias("by_lists")).join(clustered.select(F.col("x").alias("v"), "cluster", "size"), "v")
+    costs = cut(costs.select("v", "rv", "cluster", (F.col("by_lists") <= F.col("size")).alias("lists")))
     # A pair comes from the first list that both are in, as far as the first entries tell.
     first = index.select("c", F.slice("entries", 1, FIRST).alias("first"))
     known = lambda rows, x: rows.join(first.withColumnRenamed("c", "_c"), F.col(f"{x}.c") == F.col("_c")).drop("_c")
-    a = known(few.join(costs.where("lists"), "v"), "v").select("e", "v", "rv", F.filter("first", lambda y: y < F.col("e")).alias("fv"))
+    a = known(few.join(costs.where("lists").select("v"), "v"), "v").select("e", "v", "rv", F.filter("first", lambda y: y < F.col("e")).alias("fv"))
     b = known(still.select("e", F.col("x").alias("u"), F.col("root").alias("ru")), "u").select("e", "u", "ru", F.filter("first", lambda y: y < F.col("e")).alias("fu"))
     listed = a.join(b, (a["e"] == b["e"]) & (F.col("ru") != F.col("rv")) & could_link(F.col("u"), F.col("v")) & ~F.arrays_overlap("fu", "fv")).select("u", "v")
-    more = verified(listed).union(_against_components(met.join(costs.where("not lists"), "v").select("v", "root"), everyone, sizes))
+    more = verified(listed).union(_within_clusters(costs.where("not lists"), clustered, tokens))
     rooted = with_edges(cut(more), rooted)
     linked = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
