@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, pick, texts_in, word_hashes
+from tidemark.llm.common import cut, mix, pick, texts_in, word_hashes
 
 MAX_EXAMPLES = 6000
 HASHED = 2048
@@ -37,12 +37,14 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     for i, j, data, starts, ends in texts_in(column):
         h, row = word_hashes(data, starts, ends)
         n = np.bincount(row, minlength=j - i)
-        pairs, counts = np.unique(row * HASHED + (h % np.uint64(HASHED)).astype(np.int64), return_counts=True)
-        r, f, v = pairs // HASHED, pairs % HASHED, np.log1p(counts)
+        counts = np.bincount(row * HASHED + (h % np.uint64(HASHED)).astype(np.int64), minlength=(j - i) * HASHED)
+        pairs = np.flatnonzero(counts)
+        r, f, v = pairs // HASHED, pairs % HASHED, np.log1p(counts[pairs])
         v = v / np.sqrt(np.bincount(r, weights=v * v, minlength=j - i))[r]
         size = np.maximum(ends - starts, 1)
         sums = lambda m: np.diff(np.concatenate([[0], np.cumsum(m[data])])[np.stack([starts, ends])], axis=0)[0] if len(data) else np.zeros(j - i)  # noqa: E731, B023
-        distinct = np.bincount(np.unique(np.stack([row.astype(np.uint64), h]), axis=1)[0].astype(np.int64), minlength=j - i) if len(h) else np.zeros(j - i)
+        some = np.unique(h ^ mix(row.astype(np.uint64)), return_index=True)[1]
+        distinct = np.bincount(row[some], minlength=j - i)
         form = np.stack([
             np.ones(j - i), np.log1p(n) / 5, 5 * sums(_PUNCT) / size, 5 * sums(_SYMBOL) / size, 2 * sums(_UPPER) / size, 5 * sums(_DIGIT) / size,
             distinct / np.maximum(n, 1), np.log1p(size / np.maximum(n, 1)) / 3,
