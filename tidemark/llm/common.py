@@ -53,12 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more, without waiting for a collection."""
     sc = spark.sparkContext
-    for _ in range(4):  # references go in turns: Python's, then those of events about the plan, then the JVM's to what these held
+    for _ in range(3):  # references go in turns: Python's, then those of events about the plan, then the JVM's to what these held
         gc.collect()
         with contextlib.suppress(Exception):  # events that are late only delay the files' end
             sc._jsc.sc().listenerBus().waitUntilEmpty(20_000)
         sc._jvm.System.gc()
-        time.sleep(0.7)
+        time.sleep(0.5)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

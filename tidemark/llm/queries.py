@@ -124,4 +124,41 @@ ORACLE: dict[str, str] = {
                a.done AS chosen, a.mask AS chosen_mask, b.done AS rejected, b.mask AS rejected_mask,
                coalesce(a.done <> b.done, false) AS is_preference
         FROM p LEFT JOIN (SELECT * FROM c WHERE side = 0) a USING (pair_id) LEFT JOIN (SELECT * FROM c WHERE side = 1) b USING (pair_id)""",
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, g FROM (
+                SELECT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)
+                UNION ALL SELECT doc_id, 'short ' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (SELECT u, v FROM shared JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach(u, v) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v),
+        least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+        equal AS (SELECT doc_id, count(*) OVER (PARTITION BY h) AS class_size FROM (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS h FROM s GROUP BY doc_id))
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(class_size, 1) AS class_size
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON u = d.doc_id LEFT JOIN equal e ON e.doc_id = d.doc_id""",
+    "op10_line_frequency": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
+        twice AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+        r AS (SELECT doc_id, count(DISTINCT k + j) AS n_repeat_words FROM twice, range(8) t(j) WHERE n > 1 GROUP BY doc_id),
+        l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+        x AS (SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM l),
+        y AS (SELECT doc_id, source, line, array_to_string(v, ' ') AS norm, len(v) AS words FROM x WHERE len(v) > 0),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM y GROUP BY doc_id),
+        hosts AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+        often AS (SELECT source, norm FROM y JOIN hosts USING (source) GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.10 * any_value(total)),
+        gone AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM y JOIN often USING (source, norm) GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+            FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
+        f AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                   n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_words - n_removed_words < 0.5 * n_words) AS depleted FROM m)
+        SELECT *, NOT base_failed AND NOT depleted AS kept FROM f""",
 }
