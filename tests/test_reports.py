@@ -23,7 +23,7 @@ def test_feed_parameters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame(rows, "trade_key string, proxy_wallet string, condition_id string, side string, trade_ts long, notional_microusd long").write.parquet(str(tmp_path / "t"))
     feed = readers.trade_feed(spark.read.parquet(str(tmp_path / "t")), start=5, end=15, user="w0")
     assert sorted(r.trade_ts for r in feed.collect()) == [6, 9, 12, 15]
-    plan = feed._jdf.queryExecution().executedPlan().toString()
+    plan = spark._jvm.PythonSQLUtils.explainString(feed._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(trade_ts,5)" in plan and "EqualTo(proxy_wallet,w0)" in plan
 
 
