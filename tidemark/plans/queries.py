@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import book
@@ -19,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, **views: str) -> Callable[[Query], Query]:
+def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
@@ -29,7 +29,7 @@ def query(sql: str | None = None, **views: str) -> Callable[[Query], Query]:
     return add
 
 
-#: A moment in the middle of the lines' dates, and of the events' second day.
+#: A moment in the middle of the lines' dates.
 CUTOFF = 852_076_800
 
 
@@ -114,7 +114,6 @@ def f4_latest_version(spark: SparkSession, d: str) -> DataFrame:
     return ingest.latest_wins(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
-_END = 1_709_164_800
 _WALLET_SQL = f"""WITH {EVENT_TRADES}, z AS (SELECT max(trade_ts) AS hi FROM trades), w AS (SELECT t.*, hi FROM trades t, z),
     m AS (SELECT proxy_wallet, condition_id, sum(notional_microusd) AS v FROM trades GROUP BY 1, 2),
     mm AS (SELECT proxy_wallet, max(v) AS mv, count(*) AS distinct_market_count FROM m GROUP BY 1),
@@ -395,11 +394,6 @@ def _books(spark: SparkSession, d: str) -> DataFrame:
     return levels.groupBy("l_partkey").agg(F.collect_list(F.struct("price", "size")).alias("asks"))
 
 
-def _fill_sql(usd: int) -> str:
-    budget = usd * 1_000_000
-    return f"""CASE WHEN {budget} - sum(cost_{usd}) <= 1 AND sum(shares_{usd}) > 0 THEN CAST(CAST(sum(cost_{usd}) AS HUGEINT) * 1000000 // sum(shares_{usd}) AS BIGINT) END AS fill_{usd}"""
-
-
 @query(f"""WITH RECURSIVE {_BOOK}, s AS (
     SELECT l_partkey, asks, 1 AS k, 20000000000::BIGINT AS rest, 0::BIGINT AS cost, 0::BIGINT AS shares FROM b
     UNION ALL
