@@ -26,8 +26,8 @@ from tidemark.llm.common import pick
 
 VOCABULARY = "word_bpe_49k.json"
 #: Each Python worker keeps at most twice as many words with their tokens, and as many neighbours.
-KNOWN_WORDS = 80_000
-KNOWN_PAIRS = 160_000
+KNOWN_WORDS = 50_000
+KNOWN_PAIRS = 100_000
 #: Tokens decoded at a time.
 DECODE_TOKENS = 1 << 16
 _WHITE = r"\t-\r \x85\xa0  -     　"

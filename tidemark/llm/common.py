@@ -21,11 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts in a batch that goes to Python, where the session has Spark's default of 10,000.
+BATCH_ROWS = 512
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Batches of Spark's default size can hold hundreds of MB of long texts; a size that was chosen stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Just these columns, found by their exact names and renamed to the keywords.
 
     Other columns are dropped, whatever their names; a name that differs only in case does not clash.
     """
+    _bounded_batches(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"_c{names.index(c)}").alias(a) for a, c in columns.items()])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, and keys in a bucket, about.
-CHUNK_TEXT = 6 << 20
+CHUNK_TEXT = 4 << 20
 BUCKET_KEYS = 1 << 20
 
 SENT = "bucket int, chunk long, keys binary, counts binary"
