@@ -16,7 +16,7 @@ def store(spark, tmp_path):
     s.put("market_exclusions", spark.createDataFrame([("gone", "test")], "condition_id string, reason string"))
     markets = [(f"m{i}", ["finance", "sports", "politics", "crypto"][i], f"e{i}", f"title {i}", base - 86400, base + 86400 * 9) for i in range(4)]
     s.put("markets", spark.createDataFrame(markets, "condition_id string, category string, event_slug string, title string, start_ts long, end_ts long"))
-    s.put("resolutions", spark.createDataFrame([(f"m{i}", True, "gamma", 0, base + 86400 * (i + 1)) for i in range(4)], "condition_id string, terminal boolean, source string, winner int, resolved_at long"))
+    s.put("resolutions", spark.createDataFrame([(f"m{i}", True, "authority", 0, base + 86400 * (i + 1)) for i in range(4)], "condition_id string, terminal boolean, source string, winner int, resolved_at long"))
     s.put("outcomes", spark.createDataFrame([(f"a{i}", f"m{i}", 0) for i in range(4)], "asset_id string, condition_id string, outcome_index int"))
     s.put("prices", spark.createDataFrame([(f"a{i % 4}", base + 60 * i, 400_000 + i) for i in range(800)], "asset_id string, t long, price_ppm long"))
     s.put("candidates", spark.createDataFrame([(f"m{i}", "c", f"e{i}", [float(i == k) for k in range(4)]) for i in range(4)], "condition_id string, category string, event_id string, embedding array<double>"))

@@ -106,9 +106,9 @@ def test_greedy_choice(spark):
 
 def test_audit_gate(spark):
     one = lambda s, *rows: spark.createDataFrame(list(rows), s)
-    cohort = one("phase string, discovery_complete boolean, resolution_required boolean, resolution_source string, resolution_status string", ("complete", True, True, "gamma", "complete"))
+    cohort = one("phase string, discovery_complete boolean, resolution_required boolean, resolution_source string, resolution_status string", ("complete", True, True, "authority", "complete"))
     markets = one("condition_id string, selection_status string, fetch_status string", ("m", "selected", "complete"), ("n", "rejected", "pending"))
-    resolutions = one("condition_id string, terminal boolean, source string, winner int", ("m", True, "gamma", 0))
+    resolutions = one("condition_id string, terminal boolean, source string, winner int", ("m", True, "authority", 0))
     jobs = one("job_key string, job_kind string, entity_id string, status string", ("j", "verify_resolution", "n", "pending"), ("k", "scan", "m", "succeeded"))
     trades = one("trade_key string, asset_id string, condition_id string, enrichment_status string", ("t", "a", "m", "complete"))
     outcomes = one("asset_id string, condition_id string, outcome_index int", ("a", "m", 0))
