@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as T
 
@@ -70,3 +71,13 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert T.score(docs, spark.createDataFrame([], "doc_id long, toxic int")).first().score == 0.0
     assert T.score(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
+def test_all_words_of_the_examples_count(spark):
+    # Each text has words of its own: none is in several toxic examples, so no word by itself tells the labels apart.
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("qa", "wb", "ec", "rd"))
+    docs = [(i, own(i)) for i in range(200)] + [(1000, own(7))]
+    labels = [(i, int(i % 10 == 7)) for i in range(200)]
+    got = {r.doc_id: r for r in T.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=F.col("id") >= 1000).collect()}
+    first = got[1000].evidence[0]
+    assert (first.id, first.label) == (7, 1) and math.isclose(first.cosine, 1)

@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples.
 
-Texts are sparse TF-IDF vectors over words that tell the labels apart. The k nearest labelled examples by exact cosine
-are found in a block-max inverted index: each term keeps the largest weight in each block of examples, blocks are opened
-in the order of their bounds, and the search stops once no block can beat the k-th best. Votes weighted by nearness are
-turned into calibrated probabilities by isotonic regression on the examples, each scored without itself; the neighbours
-are the evidence.
+Texts are sparse TF-IDF vectors over all words of the labelled examples. The k nearest examples by exact cosine are found
+in two steps: the cosines to all examples in single precision (a dense product for the commonest words, an inverted index
+for all others), then those within the strict error bound of the k-th best again in double precision. These neighbours
+are the evidence. Most words of a text say nothing of its label, so the k nearest by telling words alone (clearly more
+frequent with label 1) vote beside them; a text without such words has the votes of the first. Votes weighted by nearness
+are turned into calibrated probabilities by isotonic regression on examples, each scored without itself.
 
-The classifier is fitted on a bounded sample of labelled rows (``max_examples``, by hash order) and keeps ``max_terms``
-words at most; document frequencies are counted over all documents. What is sent to the executors is bounded by these.
+The classifier is fitted on a bounded sample of labelled rows (``max_examples``, by hash order), calibrated on
+``calibrate_on`` of them; document frequencies are counted over all documents. What is sent to the executors is bounded by
+the words of these examples; no word of theirs is left out. Words that no example has are no part of a vector.
 
 Defined results: a null or empty text, or one without known words, has no neighbours and gets the share of label 1 among
 such examples; with no usable labels each score is 0; a document labelled twice counts as toxic if any label says so;
@@ -20,21 +22,27 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_remainder, pick
 
 MAX_EXAMPLES = 20_000
+#: Telling words at most; the search by all words has no such limit.
 MAX_TERMS = 20_000
 #: Examples scored without themselves to calibrate the votes, evenly from all.
 CALIBRATE = 3000
 NEIGHBOURS = 15
-BLOCK = 64
+#: Words in the dense product, and texts in one such product.
+DENSE = 256
+TEXTS = 64
+#: Over twice the error of a cosine in single precision: at most DENSE + 3 roundings of sums that are 1 at most.
+MARGIN = 2 * (DENSE + 8) * 2.0**-24
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,48 +50,103 @@ def words_of(text: str | None) -> list[str]:
     return _words(text.lower()) if text else []
 
 
-@dataclass
-class Index:
-    """Unit vectors of examples by term, in blocks of examples."""
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
-    n: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    bounds: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        for t, (rows, weights) in self.postings.items():
-            blocks, first = np.unique(rows // BLOCK, return_index=True)
-            self.bounds[t] = blocks, np.maximum.reduceat(weights, first)
+class Index:
+    """Unit vectors of examples by example and by term."""
+
+    def __init__(self, n: int, postings: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        terms = np.repeat(np.array(list(postings), np.int32), [len(r) for r, _ in postings.values()])
+        rows = np.concatenate([r for r, _ in postings.values()]) if postings else np.zeros(0, np.int64)
+        order = np.lexsort((terms, rows))
+        weights = np.concatenate([w for _, w in postings.values()])[order] if postings else np.zeros(0)
+        self._fill(np.searchsorted(rows[order], np.arange(n + 1)), terms[order], weights)
+
+    @classmethod
+    def of(cls, first: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> Index:
+        """From each example's terms and weights, one example after the other; it begins at ``first``, which has the end as well."""
+        index = cls.__new__(cls)
+        index._fill(first, terms, weights)
+        return index
+
+    def _fill(self, first: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.n, self.n_terms = len(first) - 1, int(terms.max()) + 1 if len(terms) else 0
+        self.first, self.terms, self.weights = first, terms, weights
+
+    def _ready(self) -> None:
+        """The inverted index and the dense product's matrix, made where they are used."""
+        if hasattr(self, "rows_of"):
+            return
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
+        counts = np.bincount(self.terms, minlength=self.n_terms)
+        common = np.sort(np.argsort(-counts, kind="stable")[:DENSE])
+        self.place = np.full(self.n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        at = self.place[self.terms]
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.sizes = np.where(self.place < 0, counts, 0)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.rows_of, self.weights_of = rows[rest], self.weights[rest].astype(np.float32)
+        self.scratch = np.zeros(self.n_terms)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("n", "n_terms", "terms", "weights", "first")}
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (terms, weights): the k examples of the largest positive cosine, as (cosine, example), nearest first, ties to the smaller example."""
+        self._ready()
+        out = []
+        for i in range(0, len(queries), TEXTS):
+            some = queries[i : i + TEXTS]
+            q = np.zeros((len(some), len(self.dense)), np.float32)
+            for j, (t, x) in enumerate(some):
+                at = self.place[t]
+                q[j, at[at >= 0]] = x[at >= 0]
+            scores = q @ self.dense
+            for j, (t, x) in enumerate(some):
+                out.append(self._best(scores[j], t, x, k, without[i + j] if without else -1))
+        return out
+
+    def _best(self, scores: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        sizes = self.sizes[t]
+        at = _spans(self.starts[t], sizes)
+        scores = scores + np.bincount(self.rows_of[at], np.repeat(x, sizes) * self.weights_of[at], self.n)
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, self.n - k)[self.n - k] - MARGIN if self.n > k else 0
+        near = np.flatnonzero((scores >= least) & (scores > 0))
+        if not len(near):
+            return []
+        self.scratch[t] = x
+        sizes = self.first[near + 1] - self.first[near]
+        at = _spans(self.first[near], sizes)
+        exact = np.bincount(np.repeat(np.arange(len(near)), sizes), self.scratch[self.terms[at]] * self.weights[at], len(near))
+        self.scratch[t] = 0
+        order = np.argsort(-exact, kind="stable")[:k]
+        return list(zip(exact[order].tolist(), near[order].tolist(), strict=True))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest positive cosine: (cosine, example), nearest first, ties to the block opened first."""
-        bound = np.zeros(-(-self.n // BLOCK))
-        terms = [(t, q) for t, q in query.items() if t in self.postings]
-        for t, q in terms:
-            blocks, most = self.bounds[t]
-            bound[blocks] += q * most
-        found: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        at = 0
-        while at < len(order) and bound[order[at]] > 0 and (len(found) < k or bound[order[at]] > found[k - 1][0] + 1e-12):
-            b = int(order[at])
-            at += 1
-            scores = np.zeros(BLOCK)
-            for t, q in terms:
-                rows, weights = self.postings[t]
-                i, j = np.searchsorted(rows, (b * BLOCK, (b + 1) * BLOCK))
-                scores[rows[i:j] - b * BLOCK] += q * weights[i:j]
-            hits = np.flatnonzero(scores > 0)
-            found += [(float(scores[x]), b * BLOCK + int(x)) for x in hits if b * BLOCK + x != without]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return found
-
-
-def vector(counts: Counter, idf: dict[str, tuple[int, float]]) -> dict[int, float]:
-    raw = {idf[w][0]: (1 + math.log(c)) * idf[w][1] for w, c in sorted(counts.items()) if w in idf}
-    norm = math.sqrt(sum(x * x for x in raw.values()))
-    return {t: x / norm for t, x in raw.items()} if norm else {}
+        """As nearest_of, for one query by term."""
+        known = sorted((t, x) for t, x in query.items() if 0 <= t < self.n_terms)
+        return self.nearest_of([(np.array([t for t, _ in known], np.int64), np.array([x for _, x in known], float))], k, [without])[0] if known else []
+
+
+def counted(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known words of a text, ascending, and how often each is in it."""
+    found = sorted((known[w], c) for w, c in Counter(words_of(text)).items() if w in known)
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / math.sqrt(x @ x) if len(x) else x
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +169,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    idf: dict[str, tuple[int, float]]
+    known: dict[str, int]
+    idf: np.ndarray
     index: Index
+    #: For each word its number among the telling ones, or -1; the examples by these.
+    telling: np.ndarray
+    told: Index
     labels: np.ndarray
     ids: list
     prior: float
@@ -120,12 +187,32 @@ class Model:
         weights = np.array([c * c for c, _ in near])
         return float((weights @ self.labels[[i for _, i in near]] + 0.5 * self.prior) / (weights.sum() + 0.5))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        query = vector(Counter(words_of(text)), self.idf)
-        near = self.index.nearest(query, self.k) if query else []
-        if not near:
-            return self.empty, []
-        return float(np.interp(self.vote(near), self.knots, self.values)) if len(self.knots) else self.empty, near
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of an example and their weights."""
+        at = slice(self.index.first[i], self.index.first[i + 1])
+        return self.index.terms[at], self.index.weights[at]
+
+    def near(self, found: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[list, list]]:
+        """For the words of each text and their weights: its neighbours by all words, and by telling words."""
+        out = []
+        for index, number in ((self.index, None), (self.told, self.telling)):
+            queries = []
+            for t, x in found:
+                some = (t if number is None else number[t]) >= 0
+                queries.append((t[some] if number is None else number[t[some]], unit(x[some])))
+            full = [i for i, (t, _) in enumerate(queries) if len(t)]
+            nearest = [[] for _ in queries]
+            for i, x in zip(full, index.nearest_of([queries[i] for i in full], self.k, [without[i] for i in full] if without else None), strict=True):
+                nearest[i] = x
+            out.append(nearest)
+        return list(zip(*out, strict=True))
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """The score and the neighbours of each text."""
+        for i in range(0, len(texts), TEXTS):
+            found = [(t, (1 + np.log(c)) * self.idf[t]) for t, c in (counted(x, self.known) for x in texts[i : i + TEXTS])]
+            for near, told in self.near(found):
+                yield (float(np.interp(self.vote(near + told), self.knots, self.values)) if near and len(self.knots) else self.empty), near
 
 
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
@@ -134,8 +221,9 @@ def _sample(labels: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, min_docs: int = 4, min_z: float = 3.5, min_lift: float = 3.0, calibrate_on: int = CALIBRATE) -> Model:
-    """docs: (id, text); labels: (id, y) of the rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, min_docs: int = 4, min_z: float = 3.5, min_lift: float = 3.0, calibrate_on: int = CALIBRATE) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """docs: (id, text); labels: (id, y) of the rows to learn from. Gives the model, sent to the executors, and its knots and values."""
+    spark = docs.sparkSession
     chosen = docs.join(F.broadcast(_sample(labels, max_examples)), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,53 +236,81 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         both = [""] + list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(both), pa.array([rows[0]] + [counts[0][w] for w in both[1:]], pa.int64()), pa.array([rows[1]] + [counts[1][w] for w in both[1:]], pa.int64())], names=["w", "n0", "n1"])
 
-    counted = chosen.mapInArrow(sets, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where((F.col("w") == "") | (F.col("n0") + F.col("n1") >= min_docs))
-    total = counted.where("w = ''").first()
-    n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
-    if not n0 + n1:
-        return Model({}, Index(0, {}), np.zeros(0), [], 0.0, 0.0, np.zeros(0), np.zeros(0), k)
-    share = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    # Words that stand clearly more often in texts of label 1, in share and beyond chance.
-    z = F.when(F.col("n1") * n0 >= min_lift * n1 * F.col("n0"), F.col("n1") / max(n1, 1) - F.col("n0") / max(n0, 1)) / F.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    terms = sorted(r["w"] for r in counted.where("w <> ''").where(share < 1).withColumn("z", z).where(F.col("z") >= min_z).orderBy(F.desc("z"), "w").limit(max_terms).collect())
-    known = {w: i for i, w in enumerate(terms)}
+    # The words in their order after "", which has the numbers of rows.
+    words = chosen.mapInArrow(sets, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().sort_by("w")
+    d0, d1 = words.column("n0").to_numpy(), words.column("n1").to_numpy()
+    n0, n1 = (int(d0[0]), int(d1[0])) if len(d0) else (0, 0)
+    n, d0, d1 = n0 + n1, d0[1:], d1[1:]
+    if not n:
+        none = Index.of(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0))
+        return spark.sparkContext.broadcast(Model({}, np.zeros(0), none, np.zeros(0, np.int32), none, np.zeros(0), [], 0.0, 0.0, np.zeros(0), np.zeros(0), k)), np.zeros(0), np.zeros(0)
+    known = {w: i for i, w in enumerate(words.column("w").slice(1).to_pylist())}
+    del words
+    shared = spark.sparkContext.broadcast(known)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         counts, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
                 counts[[known[w] for w in set(words_of(text.as_py())) if w in known]] += 1
                 n += 1
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *counts[some].tolist()], pa.int64())], names=["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], counts[some]]))], names=["t", "n"])
+
+    found = docs.select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(known) + 1, np.int64)
+    df[found.column("t").to_numpy()] = found.column("n").to_numpy()
+    del found
+    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5))
 
-    df = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = {w: (i, math.log((df[-1] + 1) / (df.get(i, 0) + 0.5))) for w, i in known.items()}
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(x.as_py(), shared.value) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([t.astype(np.int32).tobytes() for t, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["id", "y", "t", "c"])
+
+    rows = chosen.mapInArrow(bags, f"id {docs.schema['id'].dataType.simpleString()}, y int, t binary, c binary").toArrow().to_pylist()
+    # Examples without words are not in the index.
+    blank, rows = [r["y"] for r in rows if not r["t"]], sorted((r for r in rows if r["t"]), key=lambda r: (r["id"], r["t"], r["c"]))
+    first = np.cumsum([0] + [len(r["t"]) // 4 for r in rows])
+    terms, counts = (np.frombuffer(b"".join(r[x] for r in rows), np.int32) for x in ("t", "c"))
+    ids, y = [r["id"] for r in rows], np.array([r["y"] for r in rows], float)
+    del rows
+
+    def index_of(number: np.ndarray) -> Index:
+        """Of the words that have a number, by it."""
+        some = number[terms] >= 0
+        begins = np.concatenate([[0], np.cumsum(some)])[first]
+        x = (1 + np.log(counts[some])) * idf[terms[some]]
+        sizes = np.diff(begins)
+        return Index.of(begins, number[terms[some]], x / np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), x * x, len(sizes))), sizes))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Words that stand clearly more often in texts of label 1, in share and beyond chance.
+    share = (d0 + d1) / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (d1 / max(n1, 1) - d0 / max(n0, 1)) / np.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
+    z[~((d0 + d1 >= min_docs) & (share < 1) & (d1 * n0 >= min_lift * n1 * d0))] = -1
+    best = np.argsort(-z, kind="stable")[:max_terms]
+    best = np.sort(best[z[best] >= min_z])
+    telling = np.full(len(known), -1, np.int32)
+    telling[best] = np.arange(len(best))
+    prior = n1 / n
+    model = Model(known, idf, index_of(np.arange(len(known), dtype=np.int32)), telling, index_of(telling), y, ids, prior, (sum(blank) + prior) / (len(blank) + 1), np.zeros(0), np.zeros(0), k)
+    sent = spark.sparkContext.broadcast(model)
+    step = max(1, -(-len(ids) // calibrate_on))
+    del model, terms, counts
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
-            found = [sorted(vector(Counter(words_of(x.as_py())), idf).items()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([[t for t, _ in v] for v in found], pa.list_(pa.int32())), pa.array([[x for _, x in v] for v in found], pa.list_(pa.float64()))], names=["id", "y", "t", "x"])
-
-    rows = chosen.mapInArrow(vectors, f"id {docs.schema['id'].dataType.simpleString()}, y int, t array<int>, x array<double>").collect()
-    rows.sort(key=lambda r: (r["t"][:1], r["id"]))  # alike examples lie in the same block
-    full, blank = [r for r in rows if r["t"]], [r["y"] for r in rows if not r["t"]]
-    by_term: dict[int, list[tuple[int, float]]] = {}
-    for i, r in enumerate(full):
-        for t, x in zip(r["t"], r["x"], strict=True):
-            by_term.setdefault(t, []).append((i, x))
-    index = Index(len(full), {t: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for t, p in by_term.items()})
-    prior = n1 / (n0 + n1)
-    model = Model(idf, index, np.array([r["y"] for r in full], float), [r["id"] for r in full], prior, (sum(blank) + prior) / (len(blank) + 1), np.zeros(0), np.zeros(0), k)
-    pairs = []
-    for i in range(0, len(full), max(1, -(-len(full) // calibrate_on))):
-        r = full[i]
-        near = index.nearest(dict(zip(r["t"], r["x"], strict=True)), k, without=i)
-        if near:
-            pairs.append((model.vote(near), r["y"]))
-    if pairs:
-        model.knots, model.values = isotonic(*(np.array(x, float) for x in zip(*pairs, strict=True)))
-    return model
+            picked = batch.column("id").to_pylist()
+            near = model.near([model.example(i) for i in picked], picked)
+            found = [(model.vote(a + b), model.labels[i]) for i, (a, b) in zip(picked, near, strict=True) if a]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())], names=["v", "y"])
+
+    pairs = spark.range(0, len(ids), step).mapInArrow(votes, "v double, y double").toArrow().sort_by([("v", "ascending"), ("y", "ascending")]) if ids else None
+    knots, values = isotonic(pairs.column("v").to_numpy(), pairs.column("y").to_numpy()) if pairs else (np.zeros(0), np.zeros(0))
+    return sent, knots, values
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out=None, **options) -> DataFrame:
@@ -204,12 +320,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = pick(docs, id=id_col, text=text_col)
     held = F.coalesce(held_out if held_out is not None else crc_remainder("id", 5) == 0, F.lit(False))
-    model = fit(rows, pick(labels, id=id_col, y=label_col).where(~held), **options)
+    shared, knots, values = fit(rows, pick(labels, id=id_col, y=label_col).where(~held), **options)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        model.knots, model.values = knots, values
         for batch in batches:
-            found = [model.score(x.as_py()) for x in batch.column("text")]
+            found = list(model.scores(batch.column("text").to_pylist()))
             evidence = [[{"id": model.ids[i], "cosine": c, "label": int(model.labels[i])} for c, i in near[:3]] for _, near in found]
             scores = pa.array([s for s, _ in found], pa.float64())
             kinds = pa.list_(pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())]))
@@ -222,11 +340,13 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs, all columns, without the documents that score ``threshold`` or more. The texts are read where they lie."""
     rows = pick(docs, id=id_col, text=text_col)
     held = F.coalesce(held_out if held_out is not None else crc_remainder("id", 5) == 0, F.lit(False))
-    model = fit(rows, pick(labels, id=id_col, y=label_col).where(~held), **options)
+    shared, knots, values = fit(rows, pick(labels, id=id_col, y=label_col).where(~held), **options)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        model.knots, model.values = knots, values
         for batch in batches:
-            yield batch.filter(pa.array([model.score(x.as_py())[0] < threshold for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
