@@ -21,9 +21,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick
 
 # Public formats of keys, and how secrets are assigned to names.
-ASSIGNED = r"(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd)[\"']?\s{0,2}[:=]\s{0,2}[\"']?"
-PATTERN = (
+ASSIGNED = r"(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd)[\"']?[ \t]*+\s{0,2}[:=][ \t]*+\s{0,2}[\"']?"
+#: A private key runs to its END line or, where there is none, over the lines of base64 after its header.
+PRIVATE_KEY = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:\s{1,4}[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=]))+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{1,39}={0,2}(?=[ \t]*(?:\r?\n|$)))?)?"
+)
+PATTERN = (
+    rf"{PRIVATE_KEY}"
     r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
     r"|\bgh[pousr]_[A-Za-z0-9]{36,}"
     r"|\bxox[abprs]-[A-Za-z0-9-]{10,}"
@@ -34,7 +40,7 @@ PATTERN = (
     r"|\b(?=[A-Za-z_]{0,30}[0-9])(?=[0-9_]{0,30}[A-Za-z])[A-Za-z0-9_]{24,}\b"
 )
 KNOWN_FORM = r"^(?:-----BEGIN|(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|AIza|sk_(?:live|test)_|eyJ)"
-NAMED = r"(?i)(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd|auth|bearer|private)[^\s]{0,12}\s{0,2}[:=]?\s{0,2}[\"']?$"
+NAMED = r"(?i)(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd|auth|bearer|private)[^\s]{0,12}[ \t]*+\s{0,2}[:=]?[ \t]*+\s{0,2}[\"']?$"
 HARMLESS_BESIDE = r"(?i)\b(?:example|sample|dummy|placeholder|fake|test|mock|commit|sha1|sha256|sha512|md5|checksum|digest|hash|etag|integrity|uuid|guid|revision|changeset|build|version|your|todo|redacted)\b"
 HARMLESS_PATH = r"(?i)(?:^|[/._-])(?:test|tests|testing|spec|example|examples|sample|samples|fixture|fixtures|mock|mocks|doc|docs|vendor|node_modules)(?:[/._-]|$)"
 PLACEHOLDER = r"(?i)^(?:[x*.#_-]+|\$\{?.*|%.*|<.*|\{\{.*|(?:your|my|the|some|insert|enter|change)[_-]?.*|change_?me.*|none|null|true|false|undefined|example.*|.*example|password\d{0,4}|secret\d{0,4}|0+|1234567.*)$"
@@ -84,7 +90,7 @@ def featured(findings: DataFrame) -> DataFrame:
     return findings.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
     """(path, before, secret, after, label): findings made by rule, half of them secrets, the same each time."""
     made = spark.range(0, n, 1, 1)
     h = lambda k: F.sha2(F.concat_ws(":", F.lit(k), F.col("id").cast("string")), 256)
@@ -117,7 +123,7 @@ def labelled_findings(spark: SparkSession, n: int = 2400) -> DataFrame:
     )
 
 
-def fit(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 7) -> PipelineModel:
+def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
     """Trains on labelled findings (path, before, secret, after, label)."""
     rows = featured(labelled.where("secret is not null and label is not null").select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("before", F.lit("")).alias("before"), "secret", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probabilities")
