@@ -62,3 +62,13 @@ def test_training_rows_are_one_to_one(spark):
     for bad in (ok.limit(1), ok.union(ok), ok.withColumn("split", F.lit("test")), ok.withColumn("outcome_won", F.lit(None).cast("int"))):
         with pytest.raises(ValueError):
             readers.training_rows(f, bad, "15m")
+
+
+def test_pages_that_are_left_are_an_error(monkeypatch):
+    fetch = lambda c: {"data": [1], "next_cursor": str(int(c or 0) + 1) if int(c or 0) < 1499 else None}
+    assert len(list(readers.pages(fetch))) == len(list(readers.pages(fetch, 1500, whole=True))) == 1500
+    monkeypatch.setattr(readers, "get_json", lambda base, path, params: fetch(params["cursor"]))
+    read = lambda **o: list(readers._HttpReader({"base": "b", "path": "p", **o}).read(readers._Slice({})))
+    assert len(read()) == 1500
+    with pytest.raises(readers.HistoryTruncated):
+        read(pages="1499")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import time
@@ -50,10 +51,14 @@ def page(body) -> tuple[list, str | None]:
     return data, cursor
 
 
-def pages(fetch: Callable[[str | None], object], limit: int) -> Iterator[list]:
-    """Pages by cursor, ``limit`` at most; a cursor that comes again is an error."""
+class HistoryTruncated(Exception):
+    """More pages were there than asked for."""
+
+
+def pages(fetch: Callable[[str | None], object], limit: int | None = None, whole: bool = False) -> Iterator[list]:
+    """Pages by cursor, ``limit`` at most if given; a cursor that comes again is an error, and so is one left at the end if ``whole``."""
     cursor, seen = None, set()
-    for _ in range(limit):
+    for _ in itertools.count() if limit is None else range(limit):
         items, cursor = page(fetch(cursor))
         yield items
         if not cursor or not items:
@@ -61,6 +66,8 @@ def pages(fetch: Callable[[str | None], object], limit: int) -> Iterator[list]:
         if cursor in seen:
             raise ValueError(f"cursor {cursor!r} came again")
         seen.add(cursor)
+    if whole:
+        raise HistoryTruncated(f"more than {limit} pages")
 
 
 @dataclass
@@ -69,7 +76,7 @@ class _Slice(InputPartition):
 
 
 class HttpJson(DataSource):
-    """format("http_json"): options base, path, slices (a JSON list of parameter objects, one partition each), pages."""
+    """format("http_json"): options base, path, slices (a JSON list of parameter objects, one partition each), pages (a slice with more is an error; no limit by default)."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,7 +99,7 @@ class _HttpReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         o = self.options
         fetch = lambda cursor: get_json(o["base"], o["path"], {**partition.params, "cursor": cursor})
-        for items in pages(fetch, int(o.get("pages", "1000"))):
+        for items in pages(fetch, int(o["pages"]) if "pages" in o else None, whole=True):
             for x in items:
                 yield (json.dumps(x, separators=(",", ":"), ensure_ascii=False),)
 
