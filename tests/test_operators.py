@@ -135,3 +135,20 @@ def test_baseline_finds_a_signal(spark):
     assert result["coefficients"][0][0] in ("size", "logit_price")
     mean, low, high = model.cluster_bootstrap(t, F.col("label") - F.col("price"), "cv_fold", F.lit(1.0), 100)
     assert low <= mean <= high
+
+
+def test_too_many_categories_are_an_error(spark):
+    rows = spark.createDataFrame([(f"c{i % 3}",) for i in range(9)], "category string")
+    assert model.categories_of(rows, 3) == ["c0", "c1", "c2"]
+    with pytest.raises(ValueError, match="more than 2"):
+        model.categories_of(rows, 2)
+
+
+def test_e36_has_the_default_resamples(spark, sf_dir, monkeypatch):
+    from tidemark.plans import queries
+
+    seen, whole = [], model.cluster_bootstrap
+    monkeypatch.setattr(model, "cluster_bootstrap", lambda rows, value, cluster, w, resamples=1000, seed=0: seen.append(resamples) or (0.0, 0.0, 0.0))
+    monkeypatch.setattr(queries, "_predicted", lambda s, d: None)
+    queries.e36_cluster_bootstrap(spark, sf_dir)
+    assert seen == [1000] and whole.__defaults__ == (1000, 0)

@@ -166,10 +166,18 @@ def cluster_bootstrap(rows: DataFrame, value: Column, cluster: str, w: Column, r
     return whole["m"], low, high
 
 
+def categories_of(rows: DataFrame, most: int = 1000) -> list:
+    """The categories in their order; more than ``most`` are an error."""
+    found = [r["category"] for r in rows.select("category").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories")
+    return sorted(found)
+
+
 def train_baseline(rows: DataFrame, numeric: list[str], candidates: list[Candidate] | None = None, k: int = 5, jobs: int = 4) -> dict:
     """Scores the candidates out of fold, chooses by the one-standard-error rule and fits the choice on all rows."""
     rows = rows.where("split = 'train' and label is not null and cv_fold is not null").cache()
-    categories = sorted(r["category"] for r in rows.select("category").distinct().limit(1000).collect())
+    categories = categories_of(rows)
     candidates = candidates if candidates is not None else grid()
 
     def score(c: Candidate) -> tuple[Candidate, float, float]:

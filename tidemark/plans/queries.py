@@ -438,14 +438,14 @@ def e33_fold_mean_and_se(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e36_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    low, mean, high = (lambda r: (r[1], r[0], r[2]))(model.cluster_bootstrap(_predicted(spark, d), F.col("label") - F.col("p"), "l_partkey", F.lit(1.0), 200))
+    low, mean, high = (lambda r: (r[1], r[0], r[2]))(model.cluster_bootstrap(_predicted(spark, d), F.col("label") - F.col("p"), "l_partkey", F.lit(1.0)))
     return spark.sql(f"SELECT {mean!r}D AS mean, {low!r}D AS low, {high!r}D AS high")
 
 
 @query()
 def m9_logistic_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     t = event_trades(spark, d).withColumns({"label": (F.col("condition_id") % 3 == 0).cast("int"), "price": F.col("price_ppm") / S.MILLION, "category": F.col("asset_id"), "cv_fold": F.col("condition_id") % 3, "market_weight": F.lit(1.0), "sample_weight": S.sample_weight(F.col("notional_microusd")), "size": F.col("notional_microusd") / S.MILLION})
-    found = model.out_of_fold(t, model.Candidate("numeric", "market_sample", 1.0), ["size"], sorted(r[0] for r in t.select("category").distinct().limit(1000).collect()), 3)
+    found = model.out_of_fold(t, model.Candidate("numeric", "market_sample", 1.0), ["size"], model.categories_of(t), 3)
     return model.metrics(found, ["cv_fold"]).withColumns({"log_loss": F.round("log_loss", 4), "brier": F.round("brier", 4)})
 
 
