@@ -33,17 +33,36 @@ def test_verbs_from_raw_trades_to_a_dataset(store, tmp_path, capsys):
     do("rescore")
     do("label")
     do("sampled-backfill", "--admission-rate", "1")
-    assert store["cohort_markets"].where("status = 'selected'").count() == 4
+    assert store["cohort_markets"].where("selection_status = 'selected'").count() == 4
+    with pytest.raises(ValueError, match="seed"):
+        do("sampled-backfill", "--admission-rate", "1", "--seed", "5")
+    do("finish-existing", "--cohort", "main")
+    assert store["cohorts"].count() == 1 and store["features"].count() == 40
+    do("backfill")
+    assert store["trades"].count() == 40
     assert store["labels"].count() == 120 and store["labels"].where("status = 'complete'").count() > 0
     do("report")
     assert "| bucket |" in capsys.readouterr().out
-    do("export", "--output", str(tmp_path / "exports"))
+    do("export", "--output", str(tmp_path / "exports"), "--cohort", "main")
+    assert store.spark.read.option("header", True).csv(f"{tmp_path}/exports/cohort_labels").count() == 120
     do("build-dataset", "--output", str(tmp_path / "data"), "--test-start", str(1_700_000_000 + 15_000))
     manifest = json.loads(store.spark.read.text(f"{tmp_path}/data/manifest").first()[0])
     assert manifest["dropped"] == [{"reason": "other_category", "n": 10}]
     features = store.spark.read.option("header", True).csv(f"{tmp_path}/data/features")
     parts = [store.spark.read.option("header", True).csv(f"{tmp_path}/data/labels_{p}") for p in ("train", "test")]
     assert features.count() == sum(p.count() for p in parts) == 30
+    assert "## Split x category" in "\n".join(r[0] for r in store.spark.read.text(f"{tmp_path}/data/report").collect())
+    store.put("jobs", store.spark.createDataFrame([("j", 1, "main", "scan", "m0", "dead", "x", 1, 0)], "job_key string, job_id int, cohort_name string, job_kind string, entity_id string, status string, last_error string, attempts int, updated_at int"))
+    with pytest.raises(SystemExit):
+        do("audit", "--output", str(tmp_path / "audit"), "--cohort", "main", "--categories", "c")
+    do("retry-jobs", "--kind", "scan")
+    assert store["jobs"].first().status == "pending"
+    store.next("jobs", store["jobs"].withColumn("status", F.lit("succeeded")))
+    do("audit", "--output", str(tmp_path / "audit2"), "--cohort", "main", "--categories", "c")
+    assert json.loads("\n".join(r[0] for r in store.spark.read.text(f"{tmp_path}/audit2/main_audit_json").collect()))["passed"]
+    do("train-baseline", "--dataset", str(tmp_path / "data"), "--output", str(tmp_path / "model"), "--c-grid", "1", "--l1-ratios", "0", "--weightings", "none", "--filters", "all", "--feature-sets", "price_only,price_category")
+    oof = store.spark.read.option("header", True).csv(f"{tmp_path}/model/oof_predictions")
+    assert oof.count() == parts[0].count() and "p_price_only" in oof.columns
     with pytest.raises(Exception, match="(?i)exist"):
         do("build-dataset", "--output", str(tmp_path / "data"))
 

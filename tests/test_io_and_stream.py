@@ -72,3 +72,24 @@ def test_pages_that_are_left_are_an_error(monkeypatch):
     assert len(read()) == 1500
     with pytest.raises(readers.HistoryTruncated):
         read(pages="1499")
+
+
+def test_store_keeps_each_trade_once_for_ever(spark, tmp_path):
+    schema = "trade_key string, trade_ts long"
+    sink = live.store_once(str(tmp_path / "s"))
+    day = 86_400
+    for n, rows in ((0, [("a", 0), ("b", day)]), (1, [("c", 2 * day), ("a", 0)]), (1, [("c", 2 * day), ("a", 0)]), (2, [("b", day), ("d", 3 * day)])):
+        sink(spark.createDataFrame(rows, schema), n)
+    assert sorted(r.trade_key for r in spark.read.parquet(str(tmp_path / "s" / "batch=*")).collect()) == ["a", "b", "c", "d"]
+    assert live.poll_window(None, 1000) == (880, 1000) and live.poll_window(500, 1000) == (440, 1000)
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from tidemark import scratch
+
+    with scratch.scope(spark):
+        t = scratch.cut(spark.createDataFrame([(1, "x"), (2, None)], "`a b` int, `A B` string"))
+        assert t.columns == ["a b", "A B"] and t.count() == 2
+        path = t.inputFiles()[0].rsplit("/", 1)[0]
+        assert scratch.exists(spark, path)
+    assert not scratch.exists(spark, path)

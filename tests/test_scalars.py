@@ -15,7 +15,7 @@ def values(spark, rows, schema, *columns):
 
 def test_fixed_point_is_exact_and_rounded_once(spark):
     random.seed(1)
-    rows = [(f"{random.random():.7f}", f"{random.random() * 1000:.6f}") for _ in range(2000)] + [("0.25", "400"), ("0.0000005", "1"), ("x", "1"), ("", "1"), (None, "1")]
+    rows = [(f"{random.random():.7f}", f"{random.random() * 1000:.6f}") for _ in range(2000)] + [("0.25", "400"), ("0.0000005", "1"), ("0.5", "2000000000.5"), ("0.333333333333333333333", "3000000000"), ("1e-3", "12345678901.000000001"), ("x", "1"), ("", "1"), (None, "1")]
     exact = lambda x: int((x * 1_000_000).quantize(Decimal(1), ROUND_HALF_UP))
     got = values(spark, rows, "p string, q string", S.millionths("p"), S.notional("p", "q"))
     for (p, q), (a, b) in zip(rows, got, strict=True):
@@ -50,7 +50,7 @@ def test_admission_by_text_order(spark, ppm):
 
 def test_short_horizon_markets(spark):
     rows = [("btc-updown-5m-17", "", None, None), ("x", "Bitcoin up or down?", 0, 300), ("x", "Bitcoin Up / Down", 0, 601), ("eth-up-or-down-5m", "", None, None), (None, None, None, None)]
-    got = values(spark, rows, "s string, t string, a long, b long", S.short_horizon_evidence([F.col("s")], F.col("t"), F.col("a"), F.col("b")))
+    got = values(spark, rows, "s string, t string, a long, b long", S.short_horizon_evidence([F.col("s")], [F.col("t")], F.col("a"), F.col("b")))
     assert [r[0] for r in got] == ["slug", "title_and_duration", None, "slug", None]
 
 
@@ -89,3 +89,15 @@ def test_book_fills_against_a_walk(spark):
     for b, (x, y, depth) in zip(books, got, strict=True):
         assert (x, y) == (fill(b, 100 * 10**6), fill(b, 500 * 10**6))
         assert depth == (sum(z for p, z in b if p <= min(b)[0] + 10_000) if b else None)
+
+
+def test_titles_fold_compatibility_forms(spark):
+    rows = [("Ｆｕｌｌ  width! ﬁt",), ("plain Title",), (None,)]
+    assert [r[0] for r in values(spark, rows, "t string", S.normal_title(F.col("t")))] == ["full width fit", "plain title", None]
+
+
+def test_books_from_levels_and_back(spark):
+    rows = [(1, "ask", 30, 1), (1, "ask", 28, 1000), (1, "bid", 20, 5), (1, "bid", 25, 6), (2, "bid", 9, 9)]
+    books = book.of_levels(spark.createDataFrame(rows, "k int, side string, price long, size long"), "k", "side", "price", "size")
+    got = {(r.k, r.side, r.level_number): (r.price_ppm, r.size_microshares) for r in book.levels(books, "k").collect()}
+    assert got == {(1, "ask", 0): (28, 1000), (1, "ask", 1): (30, 1), (1, "bid", 0): (25, 6), (1, "bid", 1): (20, 5), (2, "bid", 0): (9, 9)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILLION = 1_000_000
@@ -12,6 +12,31 @@ def sorted_asks(levels: Column) -> Column:
     return F.array_sort(levels, lambda a, b: F.when(a["price"] < b["price"], -1).when(a["price"] > b["price"], 1).otherwise(0))
 
 
+def sorted_bids(levels: Column) -> Column:
+    return F.array_sort(levels, lambda a, b: F.when(a["price"] > b["price"], -1).when(a["price"] < b["price"], 1).otherwise(0))
+
+
+def levels(books: DataFrame, key: str, asks: str = "asks", bids: str = "bids") -> DataFrame:
+    """One row a level of each book: key, side, level_number from 0 at the best price, price_ppm, size_microshares."""
+    both = [(F.lit("ask"), sorted_asks(F.col(asks))), (F.lit("bid"), sorted_bids(F.col(bids)))]
+    rows = [books.select(key, side.alias("side"), F.posexplode(x).alias("level_number", "l")) for side, x in both]
+    return rows[0].unionByName(rows[1]).select(key, "side", "level_number", F.col("l.price").alias("price_ppm"), F.col("l.size").alias("size_microshares"))
+
+
+def of_levels(levels_: DataFrame, key: str, side: str, price: str, size: str) -> DataFrame:
+    """Books with their sides as arrays, from rows of levels."""
+    pick = lambda x: F.collect_list(F.when(F.col(side) == x, F.struct(F.col(price).alias("price"), F.col(size).alias("size"))))
+    return levels_.groupBy(key).agg(sorted_asks(pick("ask")).alias("asks"), sorted_bids(pick("bid")).alias("bids"))
+
+
+def first_books(books: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Of the books of one key the first stays; a failure at any time sets its status to failed."""
+    rest = [c for c in books.columns if c not in key]
+    found = books.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"), F.bool_or(F.col("status") == "failed").alias("_failed"))
+    value = lambda c: F.when(F.col("_failed"), "failed").otherwise(F.col("_r.status")) if c == "status" else F.col(f"_r.{c}")
+    return found.select(*key, *[value(c).alias(c) for c in rest])
+
+
 def best_ask(asks: Column) -> Column:
     return F.array_min(F.transform(asks, lambda a: a["price"]))
 

@@ -5,10 +5,13 @@ All are built-in expressions, so they stay in generated code. Amounts are whole
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MILLION = 1_000_000
 DAY = 86_400
@@ -29,19 +32,27 @@ def first_of(*columns: Column | str) -> Column:
     return F.coalesce(*columns)
 
 
-def decimal_of(c: Column | str) -> Column:
-    """An exact decimal, null where the text is none."""
-    return (F.col(c) if isinstance(c, str) else c).try_cast("decimal(18,9)")
+def decimal_of(c: Column | str, places: int = 18) -> Column:
+    """An exact decimal of up to ``places`` places and 38 digits in all, null where the text is none."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast(f"decimal(38,{places})")
 
 
 def millionths(c: Column | str) -> Column:
-    """Whole millionths, halves away from zero; null where the value is no number."""
-    return (F.round(decimal_of(c), 6) * MILLION).cast("bigint")
+    """Whole millionths, halves away from zero; null where the value is no number, or none that fits."""
+    return (F.round(decimal_of(c), 6) * MILLION).try_cast("bigint")
+
+
+def optional_millionths(c: Column | str) -> Column:
+    """The same where an empty or broken text is no error but a value that is not there."""
+    c = F.col(c) if isinstance(c, str) else c
+    return millionths(F.nullif(F.trim(c.cast("string")), F.lit("")))
 
 
 def notional(price: Column | str, size: Column | str) -> Column:
-    """Millionths of price x size, rounded once from the unrounded inputs."""
-    return (F.round(decimal_of(price) * decimal_of(size), 6) * MILLION).cast("bigint")
+    """Millionths of price x size, rounded once from the unrounded inputs: the price with up to 27 places below 10^11, the
+    size with up to 18 below 10^20. With these two types the product's own type has six places, so it is rounded to them
+    directly."""
+    return (decimal_of(price, 27) * decimal_of(size) * MILLION).try_cast("bigint")
 
 
 def micro_of_double(c: Column | str) -> Column:
@@ -60,6 +71,16 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def json_or_text(c: Column) -> Column:
+    """Text that parses as JSON in one form, any other as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+
+
+def string_list(c: Column) -> Column:
+    """array<string> of a JSON list; null if it is none."""
+    return F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>"))
+
+
 def content_hash(*columns: str) -> Column:
     return F.sha2(canonical_json(*columns), 256)
 
@@ -99,9 +120,17 @@ def admitted(rank: Column, rate_ppm: int) -> Column:
     return rank < F.lit(f"{limit:064x}")
 
 
-def normal_title(c: Column) -> Column:
-    """Lower case, runs of other than letters, digits and _ as one space, trimmed. Compatibility forms are not folded."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def normal_title(c: Column, fold: bool = True) -> Column:
+    """Compatibility forms folded (NFKC), lower case, runs of other than letters, digits and _ as one space, trimmed.
+
+    Spark has no function for the folding, so it runs in Arrow batches; without ``fold`` all stays in generated code.
+    """
+    return F.trim(F.regexp_replace(F.lower(_nfkc(c) if fold else c), r"[^\p{L}\p{N}_]+", " "))
 
 
 def category_prior(text: Column) -> Column:
@@ -124,14 +153,81 @@ def market_category(event_category: Column, market_category_: Column, tags: Colu
     return F.coalesce(F.lower(F.nullif(event_category, F.lit(""))), F.lower(F.nullif(market_category_, F.lit(""))), F.try_element_at(F.filter(known, lambda x: x.isin(*MARKET_CATEGORIES)), F.lit(1)))
 
 
-def short_horizon_evidence(slugs: list[Column], title: Column, start: Column, end: Column) -> Column:
-    """Why a market is a five-minute up-or-down one: "slug", "title_and_duration" or null. Each slug is tested alone."""
-    tests = []
-    for slug in slugs:
-        s = F.replace(F.lower(F.coalesce(slug, F.lit(""))), F.lit("_"), F.lit("-"))
-        tests.append(s.contains("updown-5m") | s.rlike(SHORT_HORIZON_SLUG))
+def short_horizon_evidence(slugs: list[Column], titles: list[Column], start: Column, end: Column) -> Column:
+    """Why a market is a five-minute up-or-down one: "slug", "title_and_duration" or null. The slugs are tested as one text, with spaces between."""
+    joined = lambda xs: F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in xs])
+    slug = F.replace(F.lower(joined(slugs)), F.lit("_"), F.lit("-"))
+    title = joined(titles)
     by_title = title.rlike(CRYPTO_WORDS) & title.rlike(UP_OR_DOWN) & (end - start).between(120, 600)
-    return F.when(reduce(lambda a, b: a | b, tests), "slug").when(by_title, "title_and_duration")
+    return F.when(slug.contains("updown-5m") | slug.rlike(SHORT_HORIZON_SLUG), "slug").when(by_title, "title_and_duration")
+
+
+def first_event(events: Column) -> Column:
+    """The first of a market's events; null if there is none."""
+    return F.try_element_at(events, F.lit(1))
+
+
+def market_times(start: list[Column], end: list[Column]) -> tuple[Column, Column]:
+    """Start and end seconds from the first alias that is not null."""
+    return epoch_seconds(F.coalesce(*start)), epoch_seconds(F.coalesce(*end))
+
+
+def seconds_to_resolution(end: Column, ts: Column) -> Column:
+    return end - ts
+
+
+def reasons(*tokens: Column) -> Column:
+    """Tokens joined by ; without the nulls."""
+    return F.concat_ws(";", *tokens)
+
+
+def fetch_id(reason: Column) -> Column:
+    """The number of the history fetch that a reason text names."""
+    return F.nullif(F.regexp_extract(F.coalesce(reason, F.lit("")), r"(?:^|;)(?:raw_)?history_fetch_id:(\d+)(?:;|$)", 1), F.lit("")).cast("bigint")
+
+
+def middle(values: Column) -> Column:
+    """The median of whole numbers, the mean of the middle two rounded down; null of none."""
+    v = F.array_sort(values)
+    n = F.size(v)
+    both = F.get(v, F.floor((n - 1) / 2).cast("int")).cast("decimal(20,0)") + F.get(v, F.floor(n / 2).cast("int"))
+    return F.floor(both / 2).cast("bigint")
+
+
+def dollars(c: Column) -> Column:
+    return c / MILLION
+
+
+def log10_dollars(c: Column) -> Column:
+    return F.when(c > 0, F.log10(dollars(c)))
+
+
+def latency_ms(observed: Column, ts: Column) -> Column:
+    return F.greatest(F.lit(0), observed - ts) * 1000
+
+
+def edge(won: Column, price_ppm: Column) -> Column:
+    return won.cast("int") - dollars(price_ppm)
+
+
+def scenario_pnl(shares: Column, won: Column, cost: Column) -> Column:
+    """Gross P&L of a fill: its shares if won, less what they cost; null if it was not filled or the outcome is unknown."""
+    return F.when(shares.isNotNull(), F.when(won, shares - cost).when(~won, -cost))
+
+
+def buy_share(buy: Column, total: Column) -> Column:
+    """The share of purchases in an amount; null without any."""
+    return F.when(total > 0, F.coalesce(buy, F.lit(0)) / total)
+
+
+def needs_book(notional_: Column, score: Column) -> Column:
+    """Live trades whose order book is fetched."""
+    return (notional_ >= 1000 * MILLION) | F.coalesce(score >= 5, F.lit(False))
+
+
+def event_of(event_id: Column, event_slug: Column, market: Column) -> Column:
+    """The event that a market belongs to: its id, else its slug, else the market itself."""
+    return F.coalesce(F.nullif(event_id, F.lit("")), F.nullif(event_slug, F.lit("")), market.cast("string"))
 
 
 def size_ratio_milli(notional_: Column, median: Column) -> Column:

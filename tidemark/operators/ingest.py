@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.scratch import cut
 
 # Other names under which a field of a raw record may come.
 ALIASES = {
@@ -42,6 +45,11 @@ def page_items(pages: DataFrame, body: str, item_schema: str) -> DataFrame:
     return pages.select(cursor.alias("next_cursor"), F.explode(F.coalesce(*items)).alias("item")).select("next_cursor", "item.*")
 
 
+def backfill_markets(markets: DataFrame, excluded: DataFrame, end: int) -> DataFrame:
+    """Markets to scan: with an id, not excluded, and not created after the window."""
+    return markets.where(F.col("condition_id").isNotNull() & F.coalesce(F.col("created_ts") <= end, F.lit(True))).join(excluded.select("condition_id"), "condition_id", "left_anti")
+
+
 def admit(trades: DataFrame, start: int | None = None, end: int | None = None, least: int = 100 * S.MILLION) -> DataFrame:
     """Buys of at least ``least`` within the window, both ends included."""
     kept = trades.where((F.col("side") == "BUY") & (F.col("notional_microusd") >= least))
@@ -53,11 +61,39 @@ def without_excluded(rows: DataFrame, excluded: DataFrame, key: str) -> DataFram
 
 
 def first_wins(rows: DataFrame, keys: list[list[str]], order: list[Column | str]) -> DataFrame:
-    """Insert-or-ignore under several unique keys: for each in turn the first row stays; a null key is no conflict."""
-    for key in keys:
-        null = [F.when(F.col(k).isNull(), F.monotonically_increasing_id()) for k in key]
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key, *null).orderBy(*order))).where("_n = 1").drop("_n")
-    return rows
+    """Insert-or-ignore under several unique keys: in order, a row stays if no row that stayed has one of its keys.
+
+    A null in a key is no conflict. One key is one aggregate, so a hot key is reduced before the shuffle. Under several
+    keys, rows that are first in all their keys stay, rows that share a key with these go, and what is left goes round
+    again; only rows in some conflict take part in that.
+    """
+    names = rows.columns
+    place = F.struct(*[(F.expr(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], F.xxhash64(*names).alias("h"))
+    if len(keys) == 1:
+        key = keys[0]
+        whole = F.col(key[0]).isNotNull()
+        for k in key[1:]:
+            whole = whole & F.col(k).isNotNull()
+        rest = [c for c in names if c not in key]
+        top = rows.where(whole).groupBy(*key).agg(F.min_by(F.struct(*(rest or [F.lit(0).alias("_")])), place).alias("_r"))
+        return top.select(*key, *([f"_r.`{c}`" for c in rest])).select(*names).unionByName(rows.where(~whole))
+    held = [F.when(F.concat(*[F.col(k).cast("string") for k in key]).isNotNull(), F.struct(*key)) for key in keys]
+    left = cut(rows.select(F.struct(*names).alias("row"), place.alias("o"), F.monotonically_increasing_id().alias("id"), *[h.alias(f"k{i}") for i, h in enumerate(held)]))
+    kept = []
+    while True:
+        marked = left
+        for i in range(len(keys)):
+            least = left.where(f"k{i} is not null").groupBy(f"k{i}").agg(F.min(F.struct("o", "id")).alias(f"m{i}"))
+            marked = marked.join(least, f"k{i}", "left")
+        first = cut(marked.withColumn("first", F.forall(F.array(*[F.col(f"m{i}").isNull() | (F.col(f"m{i}.id") == F.col("id")) for i in range(len(keys))]), lambda x: x)).drop(*[f"m{i}" for i in range(len(keys))]))
+        stays = first.where("first")
+        kept.append(stays.select("row.*"))
+        rest = first.where("not first")
+        for i in range(len(keys)):
+            rest = rest.join(stays.where(f"k{i} is not null").select(f"k{i}").distinct(), f"k{i}", "left_anti")
+        left = cut(rest.drop("first"))
+        if not left.take(1):
+            return reduce(DataFrame.unionByName, kept).select(*names)
 
 
 def latest_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

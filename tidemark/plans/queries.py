@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,24 +9,10 @@ from tidemark.functions import book
 from tidemark.functions import scalars as S
 from tidemark.operators import audit, dataset, enrich, ingest, labels, model, sampling
 from tidemark.plans import reports
+from tidemark.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from tidemark.plans.roles import EVENT_TRADES, LINE_TRADES, MARKETS, event_trades, line_trades, markets, table
 from tidemark.sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: A moment in the middle of the lines' dates.
 CUTOFF = 852_076_800
 
@@ -69,23 +53,6 @@ def c9_eligibility(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(e.alias("eligibility")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {LINE_TRADES}, {MARKETS},
-    f AS (SELECT trade_key, arg_max(quantity, l_linenumber * 1000 + quantity) AS latest_quantity FROM lines GROUP BY trade_key),
-    t AS (SELECT trade_key, arg_max(condition_id, condition_id) AS condition_id, min(proxy_wallet) AS proxy_wallet, min(notional_microusd) AS notional FROM lines GROUP BY trade_key)
-    SELECT category, c_mktsegment AS segment, count(*) AS trades, CAST(sum(notional) AS BIGINT) AS notional, CAST(sum(latest_quantity) AS BIGINT) AS quantity, count(s_suppkey) AS nearby
-    FROM t JOIN markets USING (condition_id) JOIN f USING (trade_key) JOIN customer ON c_custkey = proxy_wallet JOIN nation ON n_nationkey = c_nationkey
-    LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier WHERE s_acctbal > 0 GROUP BY 1) s ON s_nationkey = c_nationkey GROUP BY 1, 2""")
-def d1_feature_view(spark: SparkSession, d: str) -> DataFrame:
-    t = line_trades(spark, d)
-    base = t.groupBy("trade_key").agg(F.max("condition_id").alias("condition_id"), F.min("proxy_wallet").alias("wallet_snapshot_id"), F.min("notional_microusd").alias("notional"))
-    features = t.select("trade_key", (F.col("l_linenumber") * 1000 + F.col("quantity")).alias("feature_version"), "quantity")
-    wallets = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("wallet_snapshot_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
-    near = table(spark, d, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("s_suppkey"))
-    newest = ingest.latest_wins(features, ["trade_key"], ["feature_version"])
-    rows = base.join(markets(spark, d), "condition_id").join(newest, "trade_key").join(wallets, "wallet_snapshot_id").join(near, "nation", "left")
-    return rows.groupBy("category", "segment").agg(F.count("*").alias("trades"), F.sum("notional").alias("notional"), F.sum("quantity").alias("quantity"), F.count("s_suppkey").alias("nearby"))
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey FROM r WHERE n = 1""")
 def e27_dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +120,7 @@ def e20_wallet_quantiles(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY proxy_wallet ORDER BY volume DESC, condition_id) AS place FROM v)
     SELECT proxy_wallet, condition_id, volume, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
 def g4_top_markets_per_wallet(spark: SparkSession, d: str) -> DataFrame:
-    return enrich.top_markets(event_trades(spark, d))
+    return enrich.top_markets(event_trades(spark, d)).drop("trades")
 
 
 _HOUR = """SELECT trade_key, count(*) OVER w AS recent_count, CAST(coalesce(sum(notional_microusd) OVER w, 0) AS BIGINT) AS recent_notional FROM trades
@@ -190,7 +157,7 @@ _LABELS = f"""{EVENT_TRADES}, t AS (SELECT *, trade_ts + 40000 AS resolved_at, c
     f AS (SELECT w.trade_key, horizon_seconds, arg_min(p.trade_ts, (p.trade_ts, p.price_ppm)) AS ts, arg_min(p.price_ppm, (p.trade_ts, p.price_ppm)) AS price FROM w JOIN trades p ON p.asset_id = w.asset_id AND p.side = 'SELL' AND p.trade_ts BETWEEN target AND target + 300 GROUP BY 1, 2),
     l AS (SELECT w.trade_key, CAST(w.horizon_seconds AS INTEGER) AS horizon_seconds, w.trade_ts, w.won, w.target AS scheduled_at, resolved_at <= target AS early, CASE WHEN NOT (resolved_at <= target) THEN coalesce(s.ts, f.ts) END AS observed_at,
           CASE WHEN NOT (resolved_at <= target) THEN coalesce(s.price, f.price) END AS entry_price_ppm,
-          CASE WHEN resolved_at <= target THEN NULL WHEN s.ts IS NOT NULL THEN 'price_history' WHEN f.ts IS NOT NULL THEN 'historical_trade_print' END AS price_source
+          CASE WHEN resolved_at <= target THEN NULL WHEN s.ts IS NOT NULL THEN 'historical_price_history' WHEN f.ts IS NOT NULL THEN 'historical_trade_print' END AS price_source
           FROM w LEFT JOIN s USING (trade_key, horizon_seconds) LEFT JOIN f USING (trade_key, horizon_seconds)),
     labelled AS (SELECT *, CASE WHEN early THEN 'unavailable_before_horizon' WHEN entry_price_ppm IS NULL THEN 'price_unavailable' ELSE 'complete' END AS status,
           CASE WHEN won THEN 1000000 - entry_price_ppm ELSE -entry_price_ppm END AS gross_pnl FROM l)"""
@@ -222,11 +189,6 @@ def e13_label_integrity(spark: SparkSession, d: str) -> DataFrame:
     return audit.label_integrity(rows)
 
 
-@query(f"""WITH {_LABELS} SELECT horizon_seconds, status, coalesce(price_source, 'none') AS price_source, count(*) AS n, CAST(sum(gross_pnl) AS BIGINT) AS pnl FROM labelled GROUP BY 1, 2, 3""")
-def e9_e14_label_sources(spark: SparkSession, d: str) -> DataFrame:
-    return _labelled(spark, d).groupBy("horizon_seconds", "status", F.coalesce("price_source", F.lit("none")).alias("price_source")).agg(F.count("*").alias("n"), F.sum("gross_pnl").alias("pnl"))
-
-
 _SCORES = f"""{LINE_TRADES}, {MARKETS}, m AS (SELECT proxy_wallet, count(*) AS trades_of_wallet, min(trade_ts) AS first_ts FROM lines GROUP BY 1),
     x AS (SELECT trade_key, quantity, notional_microusd AS n, price_ppm AS p, trade_ts - first_ts AS age, trades_of_wallet AS prior, notional_microusd * 1000 // 20000000000 AS ratio, size * 86400 AS remaining,
           CASE WHEN category LIKE '%BRASS%' THEN 'high' WHEN category LIKE '%STEEL%' THEN 'medium' ELSE 'low' END AS prior_category, l_linenumber AS young, category
@@ -360,7 +322,7 @@ def f8_quota_per_category(spark: SparkSession, d: str) -> DataFrame:
 def m2_semantic_dedupe(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("category"), "embedding")
     rows = sampling.ranked(e, 7, 0.5, "category", "vec_id").withColumnRenamed("is_admitted", "admitted")
-    return sampling.greedy_distinct(rows, "category", "vec_id", "embedding", None, 0.3, 40)
+    return sampling.greedy_distinct(rows, "category", "vec_id", "embedding", [], 0.3, 40)
 
 
 @query("""SELECT p_partkey, lower(regexp_replace(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g')), '^$', '')) AS title, sha256(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}_]+', ' ', 'g'))) AS text_hash,
@@ -415,24 +377,24 @@ def _predicted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_PREDICTED} SELECT cv_fold, category, count(*) AS n, round(sum(-(label * ln(p) + (1 - label) * ln(1 - p)) * market_weight) / sum(market_weight), 8) AS log_loss, round(sum((p - label) * (p - label) * market_weight) / sum(market_weight), 8) AS brier FROM p GROUP BY 1, 2""")
 def e32_e35_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return model.metrics(_predicted(spark, d), ["cv_fold", "category"]).withColumns({"log_loss": F.round("log_loss", 8), "brier": F.round("brier", 8)})
+    return model.metrics(_predicted(spark, d), ["cv_fold", "category"], "market_weight").withColumns({"log_loss": F.round("log_loss", 8), "brier": F.round("brier", 8)})
 
 
 @query(f"""WITH {_PREDICTED}, t AS (SELECT p, sum(label * market_weight) AS a, sum((1 - label) * market_weight) AS b FROM p GROUP BY 1), r AS (SELECT *, coalesce(sum(b) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t)
     SELECT round(sum(a * (below + b / 2)) / (sum(a) * sum(b)), 10) AS auc FROM r""")
 def e32_auc(spark: SparkSession, d: str) -> DataFrame:
-    return model.auc(_predicted(spark, d)).select(F.round("auc", 10).alias("auc"))
+    return model.auc(_predicted(spark, d), w="market_weight").select(F.round("auc", 10).alias("auc"))
 
 
 @query(f"""WITH {_PREDICTED}, e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM p), q AS (SELECT p.*, CAST(len(list_filter(edges, lambda x: x <= p.p)) AS INTEGER) AS bin FROM p, e)
     SELECT bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(label), 8) AS mean_label FROM q GROUP BY 1""")
 def e34_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return model.calibration(_predicted(spark, d)).select("bin", "n", F.round("mean_p", 8).alias("mean_p"), F.round("mean_label", 8).alias("mean_label"))
+    return model.calibration(_predicted(spark, d), w="market_weight").select("bin", "n", F.round("mean_p", 8).alias("mean_p"), F.round("mean_label", 8).alias("mean_label"))
 
 
 @query(f"""WITH {_PREDICTED}, m AS (SELECT category, cv_fold, avg((p - label) * (p - label)) AS b FROM p GROUP BY 1, 2) SELECT category, round(avg(b), 8) AS mean, round(stddev_samp(b) / sqrt(count(*)), 8) AS se FROM m GROUP BY 1""")
 def e33_fold_mean_and_se(spark: SparkSession, d: str) -> DataFrame:
-    found = model.mean_and_se(model.metrics(_predicted(spark, d), ["category", "cv_fold"]), ["category"], "brier")
+    found = model.mean_and_se(model.metrics(_predicted(spark, d), ["category", "cv_fold"], "market_weight"), ["category"], "brier")
     return found.select("category", F.round("mean", 8).alias("mean"), F.round("se", 8).alias("se"))
 
 
@@ -445,8 +407,8 @@ def e36_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m9_logistic_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     t = event_trades(spark, d).withColumns({"label": (F.col("condition_id") % 3 == 0).cast("int"), "price": F.col("price_ppm") / S.MILLION, "category": F.col("asset_id"), "cv_fold": F.col("condition_id") % 3, "market_weight": F.lit(1.0), "sample_weight": S.sample_weight(F.col("notional_microusd")), "size": F.col("notional_microusd") / S.MILLION})
-    found = model.out_of_fold(t, model.Candidate("numeric", "market_sample", 1.0), ["size"], model.categories_of(t), 3)
-    return model.metrics(found, ["cv_fold"]).withColumns({"log_loss": F.round("log_loss", 4), "brier": F.round("brier", 4)})
+    found = model.out_of_fold(t, model.Candidate("full", "sample_x_market", 1.0), model.Inputs((), ("size",), ()), model.categories_of(t), 3)
+    return model.metrics(found, ["cv_fold"], "market_weight").withColumns({"log_loss": F.round("log_loss", 4), "brier": F.round("brier", 4)})
 
 
 @query("""SELECT 'negative_price' AS rule, count(*) FILTER (NOT l_extendedprice >= 0) AS n FROM lineitem UNION ALL SELECT 'discount_range', count(*) FILTER (NOT (l_discount BETWEEN 0 AND 0.05)) FROM lineitem UNION ALL
@@ -455,18 +417,6 @@ def m_constraint_violations(spark: SparkSession, d: str) -> DataFrame:
     return audit.violations(table(spark, d, "lineitem"), negative_price=F.col("l_extendedprice") >= 0, discount_range=F.col("l_discount").between(0, 0.05), quantity=F.col("l_quantity") > 1)
 
 
-@query("""SELECT 'lineitem_order' AS name, NOT EXISTS (SELECT 1 FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey) AS passed, (SELECT count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey) AS failures, 'error' AS severity UNION ALL
-    SELECT 'event_part', NOT EXISTS (SELECT 1 FROM labels ANTI JOIN documents USING (doc_id)), (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)), 'error' UNION ALL
-    SELECT 'unique_lines', count(*) = count(DISTINCT (l_orderkey, l_linenumber)), count(*) - count(DISTINCT (l_orderkey, l_linenumber)), 'warning' FROM lineitem""")
-def m_audit_checks(spark: SparkSession, d: str) -> DataFrame:
-    i, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    checks = [
-        audit.check("lineitem_order", audit.orphans(i, o, "l_orderkey", "o_orderkey")), audit.check("event_part", audit.orphans(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id")),
-        audit.check("unique_lines", audit.duplicates(i, ["l_orderkey", "l_linenumber"]), "warning"),
-    ]
-    return checks[0].unionByName(checks[1]).unionByName(checks[2])
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, count(*) OVER (PARTITION BY o_custkey) > 5 AS is_truncated FROM orders)
     SELECT o_custkey, o_orderkey, is_truncated FROM r WHERE n <= 5""")
 def a4_truncated_history(spark: SparkSession, d: str) -> DataFrame:
@@ -482,19 +432,8 @@ def a7_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("o_orderkey", F.coalesce("name", F.lit("none")).alias("name"))
 
 
-@query("""SELECT nation, n FROM (SELECT n_name AS nation, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT r_name, 0 FROM region) WHERE n > 0""")
-def h1_union_of_feeds(spark: SparkSession, d: str) -> DataFrame:
-    c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    feed = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("nation"), F.col("c_custkey").alias("k"))
-    both = readers.merged_schemas(feed.withColumn("feed", F.lit(1)), feed)
-    return ingest.first_wins(both, [["nation", "k"]], ["feed"]).groupBy("nation").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT split, count(*) AS n FROM (SELECT conv_id, CASE WHEN max(turn) >= 4 THEN 'long' ELSE 'short' END AS split FROM conversations GROUP BY 1) GROUP BY 1""")
-def e4_e7_status_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("m"))
-    return c.groupBy(F.when(F.col("m") >= 4, "long").otherwise("short").alias("split")).agg(F.count("*").alias("n"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return e5_e16_category_funnel(spark, d)
+
+
+from tidemark.plans import cohort_queries, scalar_queries  # noqa: E402, F401  (they register their queries)

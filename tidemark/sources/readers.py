@@ -20,24 +20,42 @@ from pyspark.sql.types import StructType
 RETRIES, TIMEOUT, LONGEST_WAIT = 3, 20.0, 60.0
 
 
+class _TryAgain(Exception):
+    """A failure that may pass; asked: the seconds that the server wants to be left alone."""
+
+    def __init__(self, cause: Exception, asked: str | None = None) -> None:
+        super().__init__(str(cause))
+        self.cause = cause
+        self.asked = float(asked) if asked and asked.replace(".", "", 1).isdigit() else None
+
+
+def _answer(url: str, timeout: float, opener: Callable):
+    """The JSON behind an address; 429, 5xx, network and JSON errors may pass, others are final."""
+    try:
+        with opener(urllib.request.Request(url, headers={"Accept": "application/json"}), timeout=timeout) as answer:
+            return json.loads(answer.read())
+    except urllib.error.HTTPError as e:
+        if e.code == 429 or e.code >= 500:
+            raise _TryAgain(e, e.headers.get("Retry-After") if e.headers else None) from e
+        raise
+    except (OSError, ValueError) as e:
+        raise _TryAgain(e) from e
+
+
 def get_json(base: str, path: str, params: dict, retries: int = RETRIES, timeout: float = TIMEOUT, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep):
-    """A JSON answer; waits and tries again after 429, 5xx, network and JSON errors, as long as the server asks for."""
-    query = urllib.parse.urlencode({k: v for k, v in params.items() if v is not None})
-    url = f"{base.rstrip('/')}/{path.lstrip('/')}" + (f"?{query}" if query else "")
-    for attempt in range(retries + 1):
-        wait = None
+    """A JSON answer; parameters that are None are left out. Failures that may pass are tried again after growing pauses, or
+    after as long as the server asks for."""
+    query = urllib.parse.urlencode([(k, v) for k, v in params.items() if v is not None])
+    url = "/".join((base.rstrip("/"), path.lstrip("/"))) + ("?" + query if query else "")
+    pauses = [2.0**k for k in range(retries)]
+    while True:
         try:
-            with opener(urllib.request.Request(url, headers={"Accept": "application/json"}), timeout=timeout) as answer:
-                return json.loads(answer.read())
-        except urllib.error.HTTPError as e:
-            if attempt == retries or e.code != 429 and e.code < 500:
-                raise
-            wait = e.headers.get("Retry-After") if e.headers else None
-        except (OSError, ValueError):
-            if attempt == retries:
-                raise
-        asked = float(wait) if wait and str(wait).replace(".", "", 1).isdigit() else 2.0**attempt
-        sleep(min(LONGEST_WAIT, asked) + random.random())
+            return _answer(url, timeout, opener)
+        except _TryAgain as failed:
+            if not pauses:
+                raise failed.cause from None
+            pause = pauses.pop(0)
+            sleep(min(LONGEST_WAIT, pause if failed.asked is None else failed.asked) + random.random())
 
 
 def page(body) -> tuple[list, str | None]:
@@ -128,6 +146,35 @@ def looked_up(keys: DataFrame, first: DataFrame, second: DataFrame, key: str, co
     return both.select(*keys.columns, *[F.when(F.col("_a"), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) for c in columns])
 
 
+def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of a dimension by key, for each key that asks; a key without a row gets nulls."""
+    return keys.join(rows.dropDuplicates([key]), key, "left")
+
+
+def market_page(markets: DataFrame, closed: bool | None = None, tag: str | None = None, after: int | None = None, limit: int = 100, key: str = "market_id") -> DataFrame:
+    """A page of the market feed: the largest ids below ``after``, of open or closed markets and of one tag if given.
+
+    The last row's id is the cursor of the next page. The filters reach the scan, and the page is a top-k, not a sort.
+    """
+    rows = markets
+    if closed is not None:
+        rows = rows.where(F.col("closed") == closed)
+    if tag is not None:
+        rows = rows.where(F.array_contains("tags", tag) if dict(markets.dtypes).get("tags", "").startswith("array") else F.col("tag") == tag)
+    if after is not None:
+        rows = rows.where(F.col(key) < after)
+    return rows.orderBy(F.desc(key)).limit(limit)
+
+
+def price_history(points: DataFrame, asset, start: int, end: int, fidelity: int | None = None) -> DataFrame:
+    """The points (t, price_ppm) of an asset in [start, end]; with a fidelity in minutes the last point of each such step."""
+    rows = points.where((F.col("asset_id") == asset) & F.col("t").between(start, end))
+    if fidelity is None:
+        return rows
+    step = F.floor(F.col("t") / (60 * fidelity)).alias("_step")
+    return rows.groupBy("asset_id", step).agg(F.max(F.struct("t", "price_ppm")).alias("_p")).select("asset_id", "_p.t", "_p.price_ppm")
+
+
 def read_training_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows; empty fields are null, and a value that does not fit is an error."""
     return spark.read.schema(schema).options(header=True, nullValue="", mode="FAILFAST").csv(path)

@@ -27,17 +27,37 @@ def write_manifest(spark: SparkSession, path: str, **facts) -> None:
     spark.createDataFrame([(json.dumps({**facts, "files": files}, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A table of a small report."""
-    found = rows.limit(limit).collect()
+#: More rows than this are no small report.
+REPORT_ROWS = 10_000
+
+
+def markdown(rows: DataFrame, most: int = REPORT_ROWS) -> str:
+    """A table of a small report; one of more than ``most`` rows is an error, nothing is cut off."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in found]) + "\n"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small document as a folder with one text file; refuses to write over anything."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    write_text(spark, path, json.dumps(value, sort_keys=True, indent=2, default=str))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Nested columns as JSON, as CSV has none."""
+    return rows.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in rows.dtypes])
 
 
 def export(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
     """Several ordered tables as CSV folders."""
     for name, (rows, order) in tables.items():
-        write_csv(rows, f"{path}/{name}", order)
+        write_csv(flat(rows), f"{path}/{name}", order)
 
 
 def compacted(raw: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
