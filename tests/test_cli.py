@@ -16,7 +16,7 @@ def store(spark, tmp_path):
     s.put("market_exclusions", spark.createDataFrame([("gone", "test")], "condition_id string, reason string"))
     markets = [(f"m{i}", ["finance", "sports", "politics", "crypto"][i], f"e{i}", f"title {i}", base - 86400, base + 86400 * 9) for i in range(4)]
     s.put("markets", spark.createDataFrame(markets, "condition_id string, category string, event_slug string, title string, start_ts long, end_ts long"))
-    s.put("resolutions", spark.createDataFrame([(f"m{i}", True, "authority", 0, base + 86400 * (i + 1)) for i in range(4)], "condition_id string, terminal boolean, source string, winner int, resolved_at long"))
+    s.put("resolutions", spark.createDataFrame([(f"m{i}", True, "authority", i % 2, base + 86400 * (i + 1)) for i in range(4)], "condition_id string, terminal boolean, source string, winner int, resolved_at long"))
     s.put("outcomes", spark.createDataFrame([(f"a{i}", f"m{i}", 0) for i in range(4)], "asset_id string, condition_id string, outcome_index int"))
     s.put("prices", spark.createDataFrame([(f"a{i % 4}", base + 60 * i, 400_000 + i) for i in range(800)], "asset_id string, t long, price_ppm long"))
     s.put("candidates", spark.createDataFrame([(f"m{i}", "c", f"e{i}", [float(i == k) for k in range(4)]) for i in range(4)], "condition_id string, category string, event_id string, embedding array<double>"))
@@ -60,9 +60,13 @@ def test_verbs_from_raw_trades_to_a_dataset(store, tmp_path, capsys):
     store.next("jobs", store["jobs"].withColumn("status", F.lit("succeeded")))
     do("audit", "--output", str(tmp_path / "audit2"), "--cohort", "main", "--categories", "c")
     assert json.loads("\n".join(r[0] for r in store.spark.read.text(f"{tmp_path}/audit2/main_audit_json").collect()))["passed"]
-    do("train-baseline", "--dataset", str(tmp_path / "data"), "--output", str(tmp_path / "model"), "--c-grid", "1", "--l1-ratios", "0", "--weightings", "none", "--filters", "all", "--feature-sets", "price_only,price_category")
+    grid = ("--c-grid", "1", "--l1-ratios", "0", "--weightings", "none", "--filters", "all", "--feature-sets", "price_only,price_category")
+    with pytest.raises(ValueError, match="two folds"):
+        do("train-baseline", "--dataset", str(tmp_path / "data"), "--output", str(tmp_path / "none"), *grid)
+    do("build-dataset", "--output", str(tmp_path / "all"), "--cohort", "main", "--categories", "c", "--test-start", "1900000000")
+    do("train-baseline", "--dataset", str(tmp_path / "all"), "--output", str(tmp_path / "model"), *grid)
     oof = store.spark.read.option("header", True).csv(f"{tmp_path}/model/oof_predictions")
-    assert oof.count() == parts[0].count() and "p_price_only" in oof.columns
+    assert oof.count() == 40 and "p_price_only" in oof.columns
     with pytest.raises(Exception, match="(?i)exist"):
         do("build-dataset", "--output", str(tmp_path / "data"))
 
