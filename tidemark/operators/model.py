@@ -281,8 +281,8 @@ def cluster_bootstrap(rows: DataFrame, value: Column, cluster: str, w: Column, r
                 total += np.outer(n, [s, x])
         yield pd.DataFrame({"replicate": range(resamples), "s": total[:, 0], "w": total[:, 1]})
 
-    reps = sums.mapInPandas(resampled, "replicate int, s double, w double").groupBy("replicate").agg((F.sum("s") / F.sum("w")).alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    whole = sums.agg((F.sum("s") / F.sum("w")).alias("m")).first()
+    reps = sums.mapInPandas(resampled, "replicate int, s double, w double").groupBy("replicate").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
+    whole = sums.agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).first()
     low, high = reps.first()["ci"] or (math.nan, math.nan)
     return whole["m"], low, high
 
