@@ -31,7 +31,7 @@ def test_exact_neighbours(spark, cell, block):
 def test_error_bounds_hold():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(50, 24)), rng.normal(size=(70, 24)) * rng.uniform(0.01, 1, size=(70, 1))
-    a, b = (ann._Block(np.arange(len(v)).astype("<i8").tobytes(), v.astype("<f8").tobytes(), 24) for v in (x, y))
+    a, b = (ann._Block(np.arange(len(v)).astype("<i8").tobytes(), v.astype("<f8").tobytes(), True, 24) for v in (x, y))
     near, error = ann.tile(a.quantise(a.norms), b.quantise(np.full(70, b.norms.max())))
     true = (x / a.norms[:, None]) @ (y / b.norms.max()).T
     assert (np.abs(true - near) <= error).all() and error.max() < 0.05

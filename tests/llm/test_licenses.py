@@ -1,16 +1,27 @@
 import math
+import random
+import re
 from collections import Counter
 
 from tidemark.llm import licenses as L
 
+IDF, UNKNOWN, VECTORS = L.idf_of(L.TEMPLATES), L.unknown(L.TEMPLATES), L.vectors_of(L.TEMPLATES)
+
 
 def cosine(text):
-    idf = L.idf_of_templates()
-    w = lambda t: {k: n * idf.get(k, L.UNKNOWN) for k, n in Counter(L.tokens(t)).items()}
-    q = w(text)
-    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    best = [(-sum(x * w(t).get(k, 0) for k, x in q.items()) / (norm(q) * norm(w(t))), n) for n, t in L.TEMPLATES]
-    return min(best)
+    """The best cosine of a stretch to any template."""
+    q = {k: n * IDF.get(k, UNKNOWN) for k, n in Counter(L.tokens(text)).items()}
+    norm = math.sqrt(sum(x * x for x in q.values()))
+    return min(((-round(sum(x * v.get(k, 0) for k, x in q.items()) / norm, 9), n) for n, v in VECTORS), default=(0, None)) if q else (0, None)
+
+
+def own(text):
+    """The licence of a text by comparing all its stretches with all templates; no gate."""
+    plain = re.sub(L._COMMENT, " ", text or "")
+    parts = [plain, *re.split(r"\r?\n", plain), *re.split(r"(?<=[.!?;])\s+|\r?\n", plain), *re.split(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+", plain)]
+    found = [cosine(p) for p in parts]
+    s, n = min(found, key=lambda x: (x[0], x[1] or ""))
+    return (n, -s) if -s >= L.THRESHOLD else (None, None)
 
 
 def test_statements_and_inheritance(spark):
@@ -31,11 +42,52 @@ def test_statements_and_inheritance(spark):
     assert L.scan(df).count() == len(rows) and L.scan(df.limit(0)).count() == 0
 
 
-def test_cosines(spark):
-    texts = [*[t for _, t in L.TEMPLATES], "Released under the MIT license, see the file", "public domain", "the the license version", "unrelated words entirely"]
-    from pyspark.sql import functions as F
+def test_texts_against_all_templates(spark):
+    random.seed(4)
+    filler = lambda n: " ".join(random.choice("alpha beta gamma the of public version software license file work".split()) for _ in range(n))
+    wrapped = lambda t, mark: "\n".join(f"{mark} {' '.join(w)}" for w in (lambda ws: [ws[i : i + 9] for i in range(0, len(ws), 9)])(t.split()))
+    texts = [t for _, t in L.TEMPLATES]
+    texts += [wrapped(t, "#") + "\n\n" + filler(40) for _, t in L.TEMPLATES] + [filler(30) + "\n * " + t for _, t in L.TEMPLATES[::2]] + [filler(n) for n in (3, 20, 200)]
+    texts += [" ".join(w for w in t.split() if random.random() < 0.7) for _, t in L.TEMPLATES] + ["", "the", "public domain", "MIT", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "cast(null as string) as path")
+    got = {r.doc_id: (r.own_license, r.own_score) for r in L.scan(df).collect()}
+    for i, t in enumerate(texts):
+        name, score = own(t)
+        assert (got[i][0], got[i][1]) == (name, None if score is None else round(score, 6)), (t, got[i], name, score)
+    for i, (name, _) in enumerate(L.TEMPLATES):
+        assert got[i][0] == name
+
+
+def test_identifiers(spark):
+    lines = {"// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "/* spdx-license-identifier: bsd-3-clause */": "BSD-3-Clause", "SPDX-License-Identifier: Zlib": "Zlib", "SPDX-License-Identifier:": None}
+    df = spark.createDataFrame([(i, f"{k}\nint main;") for i, k in enumerate(lines)], "doc_id long, text string").selectExpr("*", "'a.c' as path")
+    assert {r.doc_id: r.own_license for r in L.scan(df).collect()} == dict(enumerate(lines.values()))
+
 
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.best_template(F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))).alias("b")).collect()
-    for r in rows:
-        s, n = cosine(r.t)
-        assert math.isclose(r.b.score, -s, abs_tol=1e-9) and (r.b.name == n or math.isclose(-s, 0, abs_tol=1e-9))
+def test_inheritance_against_a_walk(spark):
+    random.seed(6)
+    names = ["MIT", "ISC", "Zlib", None]
+    parts = lambda: "/".join(random.choice("abc") for _ in range(random.randrange(0, 4)))
+    rows = []
+    for i in range(300):
+        d, lead = parts(), random.choice(["", "/"])
+        path = f"{lead}{d}/{random.choice(['LICENSE', 'x.py', 'y.txt'])}".replace("//", "/") if d or lead else random.choice(["LICENSE", "x.py"])
+        rows.append((i, path, random.choices(names, [1, 1, 1, 20])[0]))
+    text = lambda n: f"SPDX-License-Identifier: {n}" if n else "no words"
+    df = spark.createDataFrame([(i, p, text(n)) for i, p, n in rows], "doc_id long, path string, text string")
+    folder = lambda p: re.sub("/?[^/]*$", "", p)
+    dirs = {}
+    for _, p, n in rows:
+        if n and re.search(L.LICENCE_FILE, p):
+            dirs[folder(p)] = min(dirs.get(folder(p), "~"), n)
+    got = {r.doc_id: (r.license, r.inherited_from) for r in L.scan(df).collect()}
+    for i, p, n in rows:
+        at, want = folder(p), (n, None)
+        while not n:
+            if at in dirs:
+                want = (dirs[at], at)
+                break
+            if not at:
+                break
+            at = folder(at)
+        assert got[i] == want, (p, n)

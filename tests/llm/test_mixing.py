@@ -41,10 +41,38 @@ def test_classifier_mixing_and_thinning(spark):
     assert all((got[i].p[0] > 0.5) == (i % 3 > 0) for i, _ in rows)
     assert all(got[i].n_tokens == len(t.split()) for i, t in rows) and got[900].n_tokens == 0
     assert all(r.rate >= 0 and int(r.rate) <= r.copies <= int(r.rate) + 1 for r in got.values())
-    kept = M.thin_to_targets(docs, labels, kind, ["clean", "noisy"], lambda t: np.array([1.05 * t[0], 0.2 * t[1]]))
+    clash = docs.withColumn("_draw", F.lit(1)).withColumn("draw", F.lit(2))
+    kept, fit = M.thin_to_shares(clash, labels, kind, ["clean", "noisy"], [0.9, 0.1])
+    assert kept.columns == clash.columns and fit.converged
+    assert abs(fit.expected[1] / fit.expected.sum() - 0.1) < 1e-3
     left = {r.doc_id for r in kept.collect()}
-    assert kept.columns == docs.columns and all(i in left for i, _ in rows if i % 3)
+    assert all(i in left for i, _ in rows if i % 3)
     assert sum(i in left for i, _ in rows if i % 3 == 0) < 50
+    plenty, fit = M.thin_to_shares(docs, labels, kind, ["clean", "noisy"], [0.1, 0.9])
+    assert plenty.count() == docs.count() and fit.converged
+
+
+def test_posteriors_against_plain_softmax():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    model = M.Classifier(["a", "b", "c"], rng.normal(size=(M.HASHED + M.FORM, 3)))
+    texts = ["One two, two! #1", "", "words " * 50, "Ünïcode wörds and ÆØÅ $$$", "x"]
+    n, p = model.posteriors(pa.array([*texts, None]))
+    for i, t in enumerate([*texts, ""]):
+        words, raw = t.encode().lower().split(), t.encode()
+        h = [M.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0][0] for w in words]
+        counts = {}
+        for x in h:
+            counts[int(x) % M.HASHED] = counts.get(int(x) % M.HASHED, 0) + 1
+        v = {f: np.log1p(c) for f, c in counts.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        z = sum((x / norm * model.weights[f] for f, x in v.items()), np.zeros(3))
+        size, m = max(len(raw), 1), max(len(words), 1)
+        share = lambda chars: sum(b in chars for b in raw) / size  # noqa: E731, B023
+        form = [1, np.log1p(len(words)) / 5, 5 * share(b".,;:!?"), 5 * share(b"#*$%&|<>"), 2 * share(bytes(range(65, 91))), 5 * share(b"0123456789"), len(set(h)) / m, np.log1p(size / m) / 3]
+        z = z + np.array(form) @ model.weights[M.HASHED :]
+        assert n[i] == len(words) and np.allclose(p[i], np.exp(z - z.max()) / np.exp(z - z.max()).sum())
 
 
 def test_one_domain_and_empty_tables(spark):

@@ -81,3 +81,35 @@ def test_all_words_of_the_examples_count(spark):
     got = {r.doc_id: r for r in T.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=F.col("id") >= 1000).collect()}
     first = got[1000].evidence[0]
     assert (first.id, first.label) == (7, 1) and math.isclose(first.cosine, 1)
+
+
+def test_scores_against_plain_cosines(spark):
+    rows, labels = labelled(160)
+    docs = spark.createDataFrame([*rows, (500, "vile foul wabc"), (501, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), held_out=F.col("id") % 4 == 0).collect()}
+    texts, truth = dict(rows) | {500: "vile foul wabc", 501: ""}, dict(labels)
+    learn = [i for i in truth if i % 4]
+    words = {i: Counter(T.words_of(t)) for i, t in texts.items()}
+    df, d = Counter(w for c in words.values() for w in c), [Counter(w for i in learn if truth[i] == y for w in words[i]) for y in (0, 1)]
+    known = d[0].keys() | d[1].keys()
+
+    def vector(i):
+        v = {w: (1 + math.log(n)) * math.log((len(texts) + 1) / (df[w] + 0.5)) * math.log2(2 + d[1][w] / max(1, d[0][w])) ** 2 for w, n in words[i].items() if w in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors, prior = {i: vector(i) for i in texts}, sum(truth[i] for i in learn) / len(learn)
+
+    def near(i):
+        cosines = sorted(((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), j) for j in learn if j != i), reverse=True)
+        return [(c, j) for c, j in cosines[: T.NEIGHBOURS] if c > 0]
+
+    def vote(found):
+        return (sum(c * c * truth[j] for c, j in found) + 0.5 * prior) / (sum(c * c for c, _ in found) + 0.5)
+
+    votes = sorted((vote(f), truth[i]) for i in learn if (f := near(i)))
+    knots, values = T.isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float))
+    for i, r in got.items():
+        found = near(i) if i not in learn else sorted([*near(i), (1.0, i)], reverse=True)[: T.NEIGHBOURS]
+        assert np.allclose([e.cosine for e in r.evidence], [c for c, _ in found[:3]])
+        assert math.isclose(r.score, np.interp(vote(found), knots, values) if found else prior, abs_tol=1e-9)

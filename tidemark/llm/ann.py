@@ -3,8 +3,9 @@
 Vectors are packed into blocks. Query blocks and candidate blocks are dealt out over a grid of cells, each block to one
 row or column of cells, so that a cell holds a bounded number of blocks. In a cell, tiles of int8 products give each
 inner product with a bound on its quantisation error; pairs whose upper bound is below the query's current k-th best are
-dropped, the others are computed anew in double precision and kept in a heap for each query. The cells' sorted lists are
-merged by a heap while they stream by query. The bounds are strict, so the result is exact.
+dropped, the others are computed anew in double precision, and a tile's best are kept for each query. The cells' sorted
+lists are merged by a heap while they stream by query. The bounds are strict, so the result is exact. Vectors travel in
+the table's own precision; their int8 form is made in the cell.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
 the same dimension meet; ties go to the smaller id; rows with a repeated id are candidates of their own, but never of a
@@ -29,7 +30,9 @@ BLOCK = 2048
 CELL = 8
 #: Slack of the float32 tile for vectors scaled to length 1 at most.
 SLACK = 1e-5
-_PACKED = "block long, dim int, ids binary, vectors binary"
+_PACKED = "block long, dim int, ids binary, vectors binary, wide boolean"
+#: Blocks that a packing task makes, about; their number follows the table.
+BLOCKS_A_TASK = 4
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +41,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block(dim: int) -> pa.RecordBatch:
         rows = held.pop(dim)
         ids = np.array([i for i, _ in rows], "<i8")
-        return pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.stack([v for _, v in rows]).tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"])
+        return pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([np.stack([v for _, v in rows]).tobytes()], pa.binary()), pa.array([rows[0][1].dtype == np.float64])], names=["block", "dim", "ids", "vectors", "wide"])
 
     for batch in batches:
         vectors = batch.column("v")
@@ -46,7 +49,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False))
         for i, end, start in zip(batch.column("id").to_pylist(), ends, np.concatenate([[0], ends[:-1]]), strict=True):
             dim = int(end - start)
-            held.setdefault(dim, []).append((i, values[start:end].astype("<f8")))
+            held.setdefault(dim, []).append((i, values[start:end].astype("<f4" if values.dtype == np.float32 else "<f8")))
             if len(held[dim]) == BLOCK:
                 yield block(dim)
     for dim in list(held):
@@ -56,9 +59,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     """Vectors with their int8 form: unit = scale * codes + error, where unit is at most of length 1."""
 
-    def __init__(self, ids: bytes, vectors: bytes, dim: int) -> None:
+    def __init__(self, ids: bytes, vectors: bytes, wide: bool, dim: int) -> None:
         self.ids = np.frombuffer(ids, "<i8")
-        self.vectors = np.frombuffer(vectors, "<f8").reshape(-1, dim)
+        self.vectors = np.frombuffer(vectors, "<f8" if wide else "<f4").reshape(-1, dim).astype(np.float64)
         top = np.abs(self.vectors).max(axis=1)
         self.norms = top * np.sqrt(((self.vectors / top[:, None]) ** 2).sum(axis=1))
 
@@ -93,13 +96,13 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     dim = int(queries["dim"].iloc[0])
-    blocks = [_Block(*x, dim) for x in candidates[["ids", "vectors"]].itertuples(index=False)]
+    blocks = [_Block(*x, dim) for x in candidates[["ids", "vectors", "wide"]].itertuples(index=False)]
     tiles = [(b, b.norms.max(), b.quantise(np.full(len(b.ids), b.norms.max()))) for b in blocks]
-    for ids, vectors in queries[["ids", "vectors"]].itertuples(index=False):
-        q = _Block(ids, vectors, dim)
+    for ids, vectors, wide in queries[["ids", "vectors", "wide"]].itertuples(index=False):
+        q = _Block(ids, vectors, wide, dim)
         coded = q.quantise(q.norms)
-        heaps: list[list[tuple[float, int]]] = [[] for _ in q.ids]
-        least = np.full(len(q.ids), -np.inf)
+        best = _Best(len(q.ids), k)
+        least = best.least
         for b, top, c in tiles:
             near, error = tile(coded, c)
             own = q.ids[:, None] == b.ids
@@ -112,18 +115,32 @@ def _search(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> Iterator
                 rows, columns = np.nonzero(~(near + error < floor[:, None]) & ~own)
             for s in range(0, len(rows), 1 << 18):
                 r, j = rows[s : s + (1 << 18)], columns[s : s + (1 << 18)]
-                scores = exact(q.vectors[r], b.vectors[j])
-                for i, score, other in zip(r.tolist(), scores.tolist(), b.ids[j].tolist(), strict=True):
-                    heap, entry = heaps[i], (score, -other)
-                    if len(heap) < k:
-                        heapq.heappush(heap, entry)
-                    elif entry > heap[0]:
-                        heapq.heapreplace(heap, entry)
-            for i, heap in enumerate(heaps):
-                if len(heap) == k:
-                    least[i] = heap[0][0]
-        for i, heap in zip(q.ids.tolist(), heaps, strict=True):
-            yield i, sorted(heap, reverse=True)
+                best.add(r, exact(q.vectors[r], b.vectors[j]), b.ids[j])
+        yield from best.lists(q.ids)
+
+
+class _Best:
+    """The k best (score, id) of each row, by sorting what comes with what is there: a tile of ties costs no more than its sort."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.rows, self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.least = np.full(n, -np.inf)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        rows, scores, ids = np.concatenate([self.rows, rows]), np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, -scores, rows))
+        rows, scores, ids = rows[order], scores[order], ids[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = place < self.k
+        self.rows, self.scores, self.ids = rows[keep], scores[keep], ids[keep]
+        last = place[keep] == self.k - 1
+        self.least[self.rows[last]] = self.scores[last]
+
+    def lists(self, names: np.ndarray) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+        at = np.searchsorted(self.rows, np.arange(len(names) + 1))
+        for i, name in enumerate(names.tolist()):
+            yield name, list(zip(self.scores[at[i] : at[i + 1]].tolist(), (-self.ids[at[i] : at[i + 1]]).tolist(), strict=True))
 
 
 def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -138,8 +155,8 @@ def nearest(df: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id", v
     across, down = (max(1, -(-x // (cell * block))) for x in (counts["q"], counts["n"]))
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-    # Blocks gather the rows of a few partitions, so that there are few small ones.
-    packed = lambda x, n: x.repartition(max(1, min(200, -(-n // block))), "id").mapInArrow(_pack, _PACKED)
+    # Few enough tasks that their blocks are full, and as many as the table needs.
+    packed = lambda x, n: x.repartition(max(1, -(-n // (BLOCKS_A_TASK * block))), "id").mapInArrow(_pack, _PACKED)
     columns = packed(rows, counts["n"]).withColumn("down", dealt(down)).withColumn("across", grid(across))
     asked = packed(rows.where(query).groupBy("id").agg(F.min("v").alias("v")), counts["q"]).withColumn("across", dealt(across)).withColumn("down", grid(down))
 

@@ -13,6 +13,7 @@ other columns are dropped.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,11 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import pick, portions
 
 VOCABULARY = "word_bpe_49k.json"
 #: Each Python worker keeps at most twice as many words with their tokens, and as many neighbours.
-KNOWN_WORDS = 50_000
+KNOWN_WORDS = 150_000
 KNOWN_PAIRS = 100_000
 #: Tokens decoded at a time.
 DECODE_TOKENS = 1 << 16
@@ -61,6 +62,8 @@ class WordBpe:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split.replace(r"\s", _WHITE)).findall
+        #: The same for lower-case ASCII texts, which are their own normal form.
+        self.ascii_words = re.compile(split.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r ")).findall
         self.letters = _byte_letters()
         self.table = {b: ord(c) for b, c in self.letters.items()}
         ids = {self._atoms(t): i for t, i in model["vocab"].items()}
@@ -152,8 +155,7 @@ class WordBpe:
 
     def _encode_plain(self, text: str) -> bytes:
         known = self.known
-        text = unicodedata.normalize("NFC", text)
-        words = self.words(text.replace("Σ", "σ").lower())
+        words = self.ascii_words(text.lower()) if text.isascii() else self.words(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -203,11 +205,10 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
         for batch in batches:
-            texts = batch.column("text")
-            for i in range(0, batch.num_rows, 256):
-                ids = [bpe.encode(x.as_py() or "") for x in texts[i : i + 256]]
+            for part in portions(batch, "text"):
+                ids = [bpe.encode(x.as_py() or "") for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[i : i + 256], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode("utf-8", "replace") for x in ids], pa.string())],
+                    [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode("utf-8", "replace") for x in ids], pa.string())],
                     names=[id_col, "n_tokens", "ids", "decoded"],
                 )
 

@@ -7,8 +7,9 @@ by partial aggregation.
 
 Defined results: of several rows for one turn the least (role, text) counts; null roles read as "user" and null texts as
 empty; turns without a number or conversation are dropped; a pair without one of its conversations gets an empty prompt
-and null for that side; equal conversations give two empty completions, and is_preference is false; other columns are
-dropped.
+and null for that side; equal conversations give two empty completions, and is_preference is false; texts are rendered as
+they are, so a text may hold the marks of roles and ends itself: masks are places, not searched for, and stay right; other
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import let, pick, sums_before
 
 TURN_END = "<|end|>"
 
@@ -34,17 +35,14 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
 
 
 def _completion(turns: Column) -> Column:
-    """struct<text, mask> of the rendered turns."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+    """struct<text, mask> of the rendered turns; the places are sums of lengths, so long conversations cost no more a turn."""
 
-    def add(state: Column, t: Column) -> Column:
-        piece = render(t["role"], t["text"])
-        end = (state["at"] + F.length(piece)).cast("int")
-        span = F.struct((end - F.length(t["text"]) - len(TURN_END) - 1).cast("int").alias("start"), (end - 1).cast("int").alias("end"))
-        mask = F.when(t["role"] == "assistant", F.concat(state["mask"], F.array(span))).otherwise(state["mask"])
-        return F.struct(F.concat(state["text"], piece).alias("text"), end.alias("at"), mask.alias("mask"))
+    def spans(pieces: Column) -> Column:
+        end = F.zip_with(sums_before(F.transform(pieces, F.length)), pieces, lambda a, p: a + F.length(p))
+        spoken = F.zip_with(turns, end, lambda t, e: F.when(t["role"] == "assistant", F.struct((e - F.length(t["text"]) - len(TURN_END) - 1).cast("int").alias("start"), (e - 1).cast("int").alias("end"))))
+        return F.array_compact(spoken)
 
-    return F.aggregate(turns, start, add)
+    return let(F.transform(turns, lambda t: render(t["role"], t["text"])), lambda pieces: F.struct(F.array_join(pieces, "").alias("text"), spans(pieces).alias("mask")))
 
 
 def preference_pairs(turns: DataFrame, pairs: DataFrame, **columns: str) -> DataFrame:

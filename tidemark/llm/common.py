@@ -2,75 +2,77 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
-import tempfile
-import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text handled at a time inside a Python worker; a longer single text is handled alone.
+from tidemark.scratch import cut, scope, shared_folder  # noqa: F401  (the operators take them from here)
+
+#: Bytes of text handled at a time inside a Python worker; a longer single text is walked in pieces of this size.
 CHUNK_BYTES = 2 << 20
+#: Rows handled at a time inside a Python worker.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Texts in a batch that goes to Python, where the session has Spark's default of 10,000.
-BATCH_ROWS = 512
-
-
-def _bounded_batches(spark: SparkSession) -> None:
-    """Batches of Spark's default size can hold hundreds of MB of long texts; a size that was chosen stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Just these columns, found by their exact names and renamed to the keywords.
 
     Other columns are dropped, whatever their names; a name that differs only in case does not clash.
     """
-    _bounded_batches(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"_c{names.index(c)}").alias(a) for a, c in columns.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, set as Spark's checkpoint folder; one of its own where local tests set none."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+def numbered_columns(df: DataFrame, text: str) -> tuple[DataFrame, str, list[str]]:
+    """df under the names c0, c1, ..., with the new name of one column and the old names: nothing that is added can clash."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text)}", names
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def portions(batch: pa.RecordBatch, text: str | int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ROWS rows and, unless a single text is longer, CHUNK_BYTES of text."""
+    column = batch.column(text)
+    n = batch.num_rows
+    if not n:
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + n + 1].astype(np.int64)
+    i = 0
+    while i < n:
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, side="right")) - 1), i + ROWS, n)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, without waiting for a collection."""
-    sc = spark.sparkContext
-    for _ in range(3):  # references go in turns: Python's, then those of events about the plan, then the JVM's to what these held
-        gc.collect()
-        with contextlib.suppress(Exception):  # events that are late only delay the files' end
-            sc._jsc.sc().listenerBus().waitUntilEmpty(20_000)
-        sc._jvm.System.gc()
-        time.sleep(0.5)
+#: Elements that sums_before adds up at a time.
+_RUN = 256
+
+
+def sums_before(values: Column) -> Column:
+    """array<bigint>: for each element of an array the sum of those before it.
+
+    The array is cut into runs, as an array that grows by one element is copied each time: n x _RUN steps instead of n x n.
+    """
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out"))
+    running = lambda xs: F.aggregate(xs, start, add)
+    runs = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda b: running(F.slice(v, b * _RUN + 1, F.lit(_RUN))))
+    ahead = lambda r: running(F.transform(r, lambda x: x["sum"]))["out"]
+    whole = let(values, lambda v: let(runs(v), lambda r: F.flatten(F.zip_with(r, ahead(r), lambda x, h: F.transform(x["out"], lambda y: y + h)))))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
@@ -129,10 +131,29 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """64-bit hashes of the words of texts that lie in one buffer: the hashes, and each word's text.
 
     A word is a run of bytes other than the six ASCII white-space bytes; A-Z count as a-z if ``lower``.
-    The texts are given by ascending, non-overlapping byte ranges.
+    The texts are given by ascending, non-overlapping byte ranges. A long buffer is walked in pieces that end between words,
+    so memory follows the piece and the number of words. The hash is a polynomial modulo 2^64 over mixed bytes: words of
+    hundreds of bytes can be made to collide on purpose, and words are not compared beyond their hashes.
     """
     if not len(data) or not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(data) > 2 * CHUNK_BYTES:
+        found, a = [], 0
+        while a < len(data):
+            b = min(a + CHUNK_BYTES, len(data))
+            if b < len(data):
+                white = np.flatnonzero(_SPACE[data[a:b]])
+                while not len(white) and b < len(data):  # a word longer than a piece
+                    b = min(b + CHUNK_BYTES, len(data))
+                    white = np.flatnonzero(_SPACE[data[a:b]])
+                b = a + int(white[-1]) + 1 if len(white) and b < len(data) else b
+            found.append(_word_hashes(data[a:b], np.clip(starts, a, b) - a, np.clip(ends, a, b) - a, lower))
+            a = b
+        return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found])
+    return _word_hashes(data, starts, ends, lower)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -70,9 +70,9 @@ def received(table: pa.Table) -> tuple[np.ndarray, list[int], np.ndarray, np.nda
     return np.array(chunks), [len(x) for x in keys], distinct, place, np.concatenate([unpack_counts(x.as_py()) for x in table.column("counts")])
 
 
-def dealt(df: DataFrame, chunks: int, id_col: str = "id", first: int = 0):
-    """The chunk of a row."""
-    return F.pmod(F.xxhash64(id_col), F.lit(chunks)) + first
+def dealt(chunks: int, *columns: str, first: int = 0):
+    """The chunk of a row, by what is given: rows of one id meet only if nothing but the id is."""
+    return F.pmod(F.xxhash64(*columns), F.lit(chunks)) + first
 
 
 def text_bytes(df: DataFrame, *conditions) -> list[int]:

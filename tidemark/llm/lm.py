@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import counts as C
-from tidemark.llm.common import cut, mix, pick, release, texts_in, word_hashes
+from tidemark.llm.common import cut, mix, pick, texts_in, word_hashes
 
 START, END = (mix(np.array([x], np.uint64))[0] for x in (101, 102))
 _UNI, _BI = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
@@ -187,11 +187,10 @@ def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("part", part)
     all_bytes, deleted_bytes = C.text_bytes(docs, F.col("part") == deleted)
     first = C.parts(all_bytes - deleted_bytes, chunk_text)
-    chunk = F.when(F.col("part") == deleted, C.dealt(docs, C.parts(deleted_bytes, chunk_text), first=first)).otherwise(C.dealt(docs, first))
+    chunk = F.when(F.col("part") == deleted, C.dealt(C.parts(deleted_bytes, chunk_text), "id", "text", first=first)).otherwise(C.dealt(first, "id", "text"))
     texts = docs.select("id", "text", (F.col("part") == held_out).alias("held_out"), (F.col("part") != held_out).alias("learn"), chunk.alias("chunk"))
     buckets = C.parts(all_bytes // 6, bucket_keys)
     back = cut(texts.groupBy("chunk").applyInArrow(_forward(buckets), C.SENT).groupBy("bucket").applyInArrow(_total(first), _COUNTS))
-    release(df.sparkSession)
     sums = back.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("words", "tokens", "deleted")]).first()
     answers = back.where("answer is not null").select("chunk", "bucket", "answer")
     apart = F.col("chunk") >= first
@@ -200,7 +199,6 @@ def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .applyInArrow(_histogram(sums["words"], sums["tokens"] - sums["deleted"]), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     ).collect()
     weights = interpolate(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float))
-    release(df.sparkSession)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(kind, sums["words"], sums["tokens"], weights, names), schema)

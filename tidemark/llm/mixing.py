@@ -9,9 +9,13 @@ posteriors, a few numbers each; the rates themselves are folded from the steps s
 The classifier is fitted on a bounded sample of labelled rows (``max_examples``, by hash order); its features are hashed
 words and measures of form. Totals and rates are over all documents.
 
+Where documents are to be thinned and none repeated, rates end at 1; the scale of the targets then follows what can be
+reached, so that only their proportions have to be met.
+
 Defined results: null and empty texts have no tokens, and posteriors by the other features; with fewer than two labelled
-domains all documents belong to the first; a domain without tokens cannot be raised, so its target is left unmet (column
-gap of the fit); null labels and ids of the labelled table are left out; other columns are dropped.
+domains all documents belong to the first; a domain without tokens cannot be raised, so its target is left unmet (gap and
+converged of the fit); null labels and ids of the labelled table are left out; other columns are dropped by mix_to_targets and
+kept by thin_to_shares, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, pick, texts_in, word_hashes
+from tidemark.llm.common import cut, mix, numbered_columns, pick, portions, texts_in, word_hashes
 
 MAX_EXAMPLES = 6000
 HASHED = 2048
@@ -112,14 +116,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str], max_e
     return Classifier(domains, train(x[order], y[order], len(domains)))
 
 
-def rate_of(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after the gradient steps so far, held at 0 after each."""
+def rate_of(p: Column, steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rate after the gradient steps so far, held between 0 and ``most`` after each."""
     start = F.lit(1.0)
     if not steps:
         return start
     past = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(past, start, lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+    held = (lambda r: F.greatest(F.lit(0.0), r)) if most is None else (lambda r: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r)))
+    return F.aggregate(past, start, lambda r, g: held(r - dot(g)))
 
 
 @dataclass
@@ -128,33 +133,44 @@ class Fit:
     totals: np.ndarray
     expected: np.ndarray
     targets: np.ndarray
+    tolerance: float
+    most: float | None = None
 
     @property
     def gap(self) -> float:
+        """The largest distance of a domain from its target, as a share of all tokens."""
         return float(np.abs(self.expected - self.targets).max() / max(self.targets.sum(), 1e-12))
 
+    @property
+    def converged(self) -> bool:
+        return self.gap <= self.tolerance
+
 
-def fit_rates(rows: DataFrame, targets, domains: int, rounds: int = 12, tolerance: float = 1e-6) -> Fit:
+def fit_rates(rows: DataFrame, targets, domains: int, rounds: int = 12, tolerance: float = 1e-6, most: float | None = None) -> Fit:
     """rows (n, p array<double>): the steps whose rates make the expected tokens of each domain come to the targets.
 
-    ``targets`` gives them from the domains' totals at rate 1.
+    ``targets`` gives them from the domains' totals at rate 1. With ``most`` no rate exceeds it, and the targets' scale is that
+    of the first domain's tokens as they come out, so that only the proportions are aimed at.
     """
     steps: list[np.ndarray] = []
     totals = want = now = np.zeros(domains)
     for k in range(rounds + 1):
-        r = rows.withColumn("r", rate_of(F.col("p"), steps))
+        r = rows.withColumn("r", rate_of(F.col("p"), steps, most))
         p = [F.get("p", F.lit(a)) for a in range(domains)]
         mass = [F.sum(F.col("r") * F.col("n") * p[a]).alias(f"s{a}") for a in range(domains)]
-        metric = [F.sum(F.when(F.col("r") > 0, F.col("n") * p[a] * p[b])).alias(f"h{a}_{b}") for a in range(domains) for b in range(a, domains)]
+        free = F.col("r") > 0 if most is None else (F.col("r") > 0) & (F.col("r") < most)
+        metric = [F.sum(F.when(free if steps else F.lit(True), F.col("n") * p[a] * p[b])).alias(f"h{a}_{b}") for a in range(domains) for b in range(a, domains)]
         got = {c: v or 0.0 for c, v in r.agg(*mass, *metric).first().asDict().items()}
         now = np.array([got[f"s{a}"] for a in range(domains)])
         if not k:
             totals, want = now, np.asarray(targets(now), float)
+        if most is not None and want[0] > 0:
+            want = want * (now[0] / want[0])
         if k == rounds or np.abs(now - want).max() <= tolerance * max(want.sum(), 1e-12):
             break
         h = np.array([[got[f"h{min(a, b)}_{max(a, b)}"] for b in range(domains)] for a in range(domains)])
         steps.append(np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(domains) / domains, now - want, rcond=None)[0])
-    return Fit(steps, totals, now, want)
+    return Fit(steps, totals, now, want, tolerance, most)
 
 
 def _draw(id_col: str, text_col: str) -> Column:
@@ -162,7 +178,7 @@ def _draw(id_col: str, text_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / (1 << 30)
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], targets, id_col: str, text_col: str, **options) -> tuple[Classifier, DataFrame, Fit]:
+def _fitted(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], targets, id_col: str, text_col: str, most: float | None = None, rounds: int = 12, tolerance: float = 1e-6, **options) -> tuple[Classifier, DataFrame, Fit]:
     # ``domain`` reads the labelled table's own columns, so it is taken before names are picked.
     table = labels.select(F.col(id_col), domain.alias("_domain"))
     rows = pick(docs, id=id_col, text=text_col)
@@ -171,11 +187,12 @@ def _fitted(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, p = model.posteriors(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("draw"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(domains), pa.int32()), pa.array(p.ravel()))], names=["id", "draw", "n", "p"])
+            for part in portions(batch, "text"):
+                n, p = model.posteriors(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("draw"), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(domains), pa.int32()), pa.array(p.ravel()))], names=["id", "draw", "n", "p"])
 
     known = cut(rows.select("id", "text", _draw("id", "text").alias("draw")).mapInArrow(run, f"id {kind}, draw double, n long, p array<double>"))
-    return model, known, fit_rates(known, targets, len(domains))
+    return model, known, fit_rates(known, targets, len(domains), rounds, tolerance, most)
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], targets, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, Fit]:
@@ -185,26 +202,35 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, domains:
     rest's probability, by a hash of the id and text.
     """
     _, known, fit = _fitted(docs, labels, domain, domains, targets, id_col, text_col, **options)
-    rate = rate_of(F.col("p"), fit.steps)
+    rate = rate_of(F.col("p"), fit.steps, fit.most)
     copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
     return known.withColumn("rate", rate).select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), "p", "rate", copies.alias("copies")), fit
 
 
-def thin_to_targets(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], targets, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all columns, without the documents that the rates leave out; rates above 1 keep a document once.
+def thin_to_shares(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], shares: list[float], id_col: str = "doc_id", text_col: str = "text", tolerance: float = 1e-4, rounds: int = 30, **options) -> tuple[DataFrame, Fit]:
+    """docs, all columns, without the documents that the rates leave out; and the fit.
 
+    Documents of the first domain stay; those of a domain that has more than its share beside the first are thinned until
+    the expected tokens are in proportion. Domains that have less than their share cannot be raised and count as they are.
     The posteriors are worked out again where the texts lie, which costs less than moving the texts.
     """
-    model, _, fit = _fitted(docs, labels, domain, domains, targets, id_col, text_col, **options)
-    names = docs.columns
+    want = np.asarray(shares, float)
+
+    def targets(totals: np.ndarray) -> np.ndarray:
+        return np.minimum(want / want[0] * totals[0], np.concatenate([[np.inf], totals[1:]]))
+
+    rows, text, names = numbered_columns(docs, text_col)
+    model, _, fit = _fitted(docs, labels, domain, domains, targets, id_col, text_col, most=1.0, rounds=rounds, tolerance=tolerance, **options)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, p = model.posteriors(batch.column(at))
-            r = np.ones(len(p))
-            for step in fit.steps:
-                r = np.maximum(0.0, r - p @ step)
-            yield batch.select(range(len(names))).filter(pa.array(batch.column(len(names)).to_numpy() < r))
-
-    return docs.withColumn("_draw", _draw(id_col, text_col)).mapInArrow(run, docs.schema)
+            for part in portions(batch, at):
+                _, p = model.posteriors(part.column(at))
+                r = np.ones(len(p))
+                for step in fit.steps:
+                    r = np.minimum(1.0, np.maximum(0.0, r - p @ step))
+                yield part.select(range(len(names))).filter(pa.array(part.column(len(names)).to_numpy() < r))
+
+    drawn = rows.withColumn("draw", _draw(f"c{names.index(id_col)}", text))
+    return drawn.mapInArrow(run, rows.schema).toDF(*names), fit

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import counts as C
-from tidemark.llm.common import cut, mix, pick, release, texts_in, word_hashes
+from tidemark.llm.common import cut, mix, pick, texts_in, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -258,9 +258,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.where("n > 0 and id is not null").groupBy("c").agg(F.min("id").alias("least_id"), F.count("*").alias("class_size"), F.first("n").alias("n"))
     size = C.text_bytes(docs)[0]
     chunks, buckets = C.parts(size, chunk_text), C.parts(size // 6, bucket_keys)
-    chunk = C.dealt(docs, chunks)
-    reps = cut(classes.select(C.dealt(classes, chunks, "least_id").alias("chunk"), F.col("least_id").alias("id"), "c"))
-    texts = docs.withColumn("chunk", chunk)
+    reps = cut(classes.select(C.dealt(chunks, "least_id").alias("chunk"), F.col("least_id").alias("id"), "c"))
+    # Rows without an id have no part in components, so they do not gather under one key.
+    texts = docs.where("id is not null").withColumn("chunk", C.dealt(chunks, "id"))
 
     def forward(key, docs, reps):
         found = [t for _, _, _, t in _representatives(docs, _by_id(reps))]
@@ -281,11 +281,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.table([pa.array(chunks, pa.int64()), pa.array([table.column("bucket")[0].as_py()] * len(chunks), pa.int32()), pa.array(answers, pa.binary())], names=["chunk", "bucket", "answer"])
 
     answers = texts.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(forward, C.SENT).groupBy("bucket").applyInArrow(total, C.ANSWER)
-    # (The keys' way back is checkpointed, so what was shuffled for it can go.)
     # The representatives' ids go with the answers, as what a chunk gets must come from one side.
     back = cut(answers.select("chunk", "bucket", "answer", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("long").alias("c")).union(reps.select("chunk", F.lit(-1), F.lit(None), "id", "c")))
-    del answers
-    release(docs.sparkSession)
 
     def indexed(key, docs, back):
         is_rep = pc.equal(back.column("bucket"), -1)
@@ -321,7 +318,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = index.select("c", "n", "m", F.explode("entries").alias("e"))
     # Lists of one member hold no pair.
     lists = cut(lists.join(lists.groupBy("e").agg(F.min(item("c", "n", "m")).alias("hub"), F.count("*").alias("members")).where("members > 1"), "e"))
-    release(docs.sparkSession)
     tokens = index.select("c", "n", "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -343,10 +339,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     outside = F.col("root") != F.col("largest.root")
     # Against the smallest member of each list.
     rooted = components(verified(lists.where("c <> hub.c").select(F.col("hub").alias("u"), item("c", "n", "m").alias("v"))))
-    release(docs.sparkSession)
     # Who is not in the list's largest component yet, against one of its members, another in each list.
     rooted = with_edges(verified(rooted_by(rooted).where(outside).select(F.col("largest.some").alias("u"), F.col("x").alias("v"))), rooted)
-    release(docs.sparkSession)
     # Who is still outside, against all members of other components: those of the shared lists, or, if these are fewer,
     # all that shared lists connect. Either way all pairs that could link are there.
     still = rooted_by(rooted)
@@ -356,7 +350,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clustered = still.select("x", "root").distinct().join(reach.select(F.col("node").alias("_n"), F.col("root").alias("cluster")), F.col("x.c") == F.col("_n")).drop("_n").join(sizes, "cluster")
     costs = few.groupBy("v", "rv").agg(F.sum("members").alias("by_lists")).join(clustered.select(F.col("x").alias("v"), "cluster", "size"), "v")
     costs = cut(costs.select("v", "rv", "cluster", (F.col("by_lists") <= F.col("size")).alias("lists")))
-    release(docs.sparkSession)
     # A pair comes from the first list that both are in, as far as the first entries tell.
     first = index.select("c", F.slice("entries", 1, FIRST).alias("first"))
     known = lambda rows, x: rows.join(first.withColumnRenamed("c", "_c"), F.col(f"{x}.c") == F.col("_c")).drop("_c")
@@ -365,8 +358,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     listed = a.join(b, (a["e"] == b["e"]) & (F.col("ru") != F.col("rv")) & could_link(F.col("u"), F.col("v")) & ~F.arrays_overlap("fu", "fv")).select("u", "v")
     more = verified(listed).union(_within_clusters(costs.where("not lists"), clustered, tokens))
     rooted = with_edges(cut(more), rooted)
-    del more, listed, a, b
-    release(docs.sparkSession)
     linked = classes.join(rooted.select(F.col("node").alias("c"), "root"), "c").select("c", "root", "least_id")
     smallest = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     found = linked.join(smallest, "root").select("c", "component_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CHUNK_BYTES, as_bytes, cut, pick, texts_in, word_hashes
+from tidemark.llm.common import as_bytes, cut, pick, portions, texts_in, word_hashes
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -90,14 +90,7 @@ def measure(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                end, size = start, 0
-                while end < batch.num_rows and (size < CHUNK_BYTES or end == start):
-                    size += len(batch.column("text")[end].as_buffer() or b"") if batch.column("text")[end].is_valid else 0
-                    end += 1
-                part = batch.slice(start, end - start)
-                start = end
+            for part in portions(batch, "text"):
                 text = part.column("text")
                 found = [measures(x) for x in as_bytes(text)]
                 tables = list(_line_tables(text))

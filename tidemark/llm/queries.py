@@ -12,8 +12,14 @@ from tidemark.llm import ann, bpe, chat, licenses, lm, mixing, ngram_join, quali
 from tidemark.llm.common import table
 
 
+def with_path(docs: DataFrame) -> DataFrame:
+    """The documents as files: a directory of a hundred ids in a directory of the source."""
+    shard = F.floor(F.col("doc_id") / 100).cast("string")
+    return docs.withColumn("path", F.concat_ws("/", "source", shard, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(with_path(table(spark, sf_dir, "documents")), path_col="path")
     return found.withColumn("secret_sha256", F.sha2("secret", 256)).drop("secret")
 
 
@@ -32,8 +38,8 @@ def domain_of_labels():
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates for the shares of DOMAINS at the present number of tokens."""
     shares = list(DOMAINS.values())
-    mixed, _ = mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain_of_labels(), list(DOMAINS), lambda totals: totals.sum() * np.array(shares))
-    return mixed.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies")
+    mixed, fit = mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain_of_labels(), list(DOMAINS), lambda totals: totals.sum() * np.array(shares))
+    return mixed.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", "copies", F.lit(fit.gap).alias("gap"), F.lit(fit.converged).alias("converged"))
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +47,7 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: a directory of a hundred ids in a directory of the source."""
-    docs = table(spark, sf_dir, "documents")
-    shard = F.floor(F.col("doc_id") / 100).cast("string")
-    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", shard, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
+    return licenses.scan(with_path(table(spark, sf_dir, "documents")))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

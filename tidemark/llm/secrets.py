@@ -1,24 +1,27 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are found with one regular expression. Each gets features of its length, of its character transitions, of how
-much of it dictionary words cover, of its path and of the words beside it; a random forest trained on labelled findings
-gives the probability that it is a secret. Built-in functions and the ML library's DataFrame interface only; no Python
-runs on the executors. Findings are rows of their own, so no document and no source gathers in one task.
+much of it dictionary words cover, and of its path and the words beside it, which are hashed; a random forest trained on
+labelled findings gives the probability that it is a secret. The dictionary holds the commonest words of the corpus. The
+forest is trained by the ML library and then written as one expression, so a text is matched, judged and redacted in a single
+pass where it lies: no Python runs on the executors, nothing is joined, and no document or source gathers in one task.
 
 Defined results: null and empty texts have no findings; a null path counts as ""; overlapping candidates do not occur, as
-matches follow one another; repeated rows have their own findings; other columns are dropped. Offsets count characters.
+matches follow one another; repeated rows have their own findings; other columns are dropped by scan and kept by redact,
+whatever their names. Offsets count characters. The noncharacter U+FFFF reads as U+FFFE in texts with findings.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import let, numbered_columns, pick, sums_before
+from tidemark.scratch import delete, shared_folder
 
 # Public formats of keys, and how secrets are assigned to names.
 ASSIGNED = r"(?i:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd)[\"']?[ \t]*+\s{0,2}[:=][ \t]*+\s{0,2}[\"']?"
@@ -40,9 +43,6 @@ PATTERN = (
     r"|\b(?=[A-Za-z_]{0,30}[0-9])(?=[0-9_]{0,30}[A-Za-z])[A-Za-z0-9_]{24,}\b"
 )
 KNOWN_FORM = r"^(?:-----BEGIN|(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_|xox[abprs]-|AIza|sk_(?:live|test)_|eyJ)"
-NAMED = r"(?i)(?:passw(?:or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|pwd|auth|bearer|private)[^\s]{0,12}[ \t]*+\s{0,2}[:=]?[ \t]*+\s{0,2}[\"']?$"
-HARMLESS_BESIDE = r"(?i)\b(?:example|sample|dummy|placeholder|fake|test|mock|commit|sha1|sha256|sha512|md5|checksum|digest|hash|etag|integrity|uuid|guid|revision|changeset|build|version|your|todo|redacted)\b"
-HARMLESS_PATH = r"(?i)(?:^|[/._-])(?:test|tests|testing|spec|example|examples|sample|samples|fixture|fixtures|mock|mocks|doc|docs|vendor|node_modules)(?:[/._-]|$)"
 PLACEHOLDER = r"(?i)^(?:[x*.#_-]+|\$\{?.*|%.*|<.*|\{\{.*|(?:your|my|the|some|insert|enter|change)[_-]?.*|change_?me.*|none|null|true|false|undefined|example.*|.*example|password\d{0,4}|secret\d{0,4}|0+|1234567.*)$"
 WORDS = (
     "access account admin alpha api auth beta build cache change class client code config content count data database default delta demo dev "
@@ -53,55 +53,74 @@ WORDS = (
     "system table temp template test text the theme time token true type undefined update url user value version view web word work write your"
 ).split()
 COMMON_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce"
-FEATURES = ("size", "transitions", "digits", "upper", "lower", "other", "variety", "hex", "covered", "letter_pairs", "known", "named", "beside", "path_harmless", "placeholder")
+#: Words that stand beside harmless values; the prose of the findings made by rule does without them.
+TELLING = ("beta", "build", "commit", "demo", "digest", "dummy", "example", "git", "hash", "sample", "test", "version")
+DENSE = ("size", "transitions", "digits", "upper", "lower", "other", "variety", "hex", "covered", "letter_pairs", "known", "placeholder", "named")
+#: Buckets of the hashed words beside a finding and of the hashed parts of its path; words on either side that count.
+NEAR, PLACE, BEFORE, AFTER = 128, 32, 4, 2
+#: Words of the corpus in the dictionary at most, the least letters of one, and the least number of texts that hold it.
+DICTIONARY, LETTERS, TEXTS = 400, 4, 20
+#: Parts a text into gaps and matches; no text holds it when it is matched.
+_MARK = "\uffff"
+FINDING = "path string, before string, secret string, after string, label double"
 
 
-def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """(id, path, start, secret, before, after): what lies between matches gives their places and their neighbours."""
-    columns = {"id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})
-    rows = pick(df, **columns).where(F.col("text").rlike(PATTERN))
-    path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_col else F.lit("")
-    found = rows.select("id", path.alias("path"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("hits"), F.split("text", PATTERN, -1).alias("gaps"))
-    name = F.regexp_extract("hit", f"^{ASSIGNED}", 0)
-    return found.select("id", "path", "hits", "gaps", F.posexplode("hits").alias("k", "hit")).select(
-        "id", "path",
-        (F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("hits", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)) + F.length(name)).alias("start"),
-        F.substr("hit", F.length(name) + 1).alias("secret"),
-        F.concat(F.substring(F.get("gaps", F.col("k")), -60, 60), name).alias("before"), F.substring(F.get("gaps", F.col("k") + 1), 1, 40).alias("after"),
-    )
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled findings from a CSV file with a header: path (of the file), before and after (the text beside the value, with the
+    name that it is assigned to), secret (the value itself) and label (1: a secret, 0: not)."""
+    return spark.read.schema(FINDING).options(header=True, multiLine=True, escape='"', mode="FAILFAST").csv(path)
+
 
+def top_words(df: DataFrame, text_col: str = "text", n: int = DICTIONARY, least: int = TEXTS) -> list[str]:
+    """The words of letters a-z that most texts hold, ``least`` of them or more; counted over all texts."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{LETTERS},}}"), F.lit(0)))
+    counts = pick(df, text=text_col).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(n).collect()]
 
-def featured(findings: DataFrame) -> DataFrame:
-    """Adds FEATURES to (path, secret, before, after); all are doubles and none is null."""
-    s = F.col("secret")
-    size = F.greatest(F.length(s), F.lit(1))
-    share = lambda pattern: F.regexp_count(s, F.lit(pattern)) / size
-    changes = F.regexp_count(s, F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"))
-    left = F.regexp_replace(F.lower(s), "|".join(sorted((w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w))), "")
-    pairs = F.regexp_count(F.lower(s), F.lit(f"(?=(?:{COMMON_PAIRS}))"))
+
+def _buckets(words: Column, n: int) -> Column:
+    return F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(n)))
+
+
+def features(path: Column, before: Column, secret: Column, after: Column, dictionary: str) -> Column:
+    """array<double>: DENSE, then whether a word beside the value, and a part of its path, falls in each bucket. None is null."""
+    size = F.greatest(F.length(secret), F.lit(1))
+    share = lambda pattern: F.regexp_count(secret, F.lit(pattern)) / size
+    changes = F.regexp_count(secret, F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    values = {
+    dense = {
         "size": F.ln(size.cast("double")), "transitions": changes / size, "digits": share("[0-9]"), "upper": share("[A-Z]"), "lower": share("[a-z]"),
-        "other": share("[^A-Za-z0-9]"), "variety": F.size(F.array_distinct(F.split(s, ""))) / F.least(size, F.lit(64)), "hex": flag(s.rlike("^[0-9a-f]{16,}$")),
-        "covered": 1 - F.length(left) / size, "letter_pairs": pairs / size, "known": flag(s.rlike(KNOWN_FORM)),
-        "named": flag(F.col("before").rlike(NAMED)), "beside": flag(F.col("before").rlike(HARMLESS_BESIDE) | F.col("after").rlike(HARMLESS_BESIDE)),
-        "path_harmless": flag(F.col("path").rlike(HARMLESS_PATH)), "placeholder": flag(s.rlike(PLACEHOLDER)),
+        "other": share("[^A-Za-z0-9]"), "variety": F.size(F.array_distinct(F.split(secret, ""))) / F.least(size, F.lit(64)), "hex": flag(secret.rlike("^[0-9a-f]{16,}$")),
+        "covered": 1 - F.length(F.regexp_replace(F.lower(secret), dictionary, "")) / size, "letter_pairs": F.regexp_count(F.lower(secret), F.lit(f"(?=(?:{COMMON_PAIRS}))")) / size, "known": flag(secret.rlike(KNOWN_FORM)),
+        "placeholder": flag(secret.rlike(PLACEHOLDER)), "named": flag(before.rlike(f"{ASSIGNED}$")),
     }
-    return findings.withColumns({k: v.cast("double") for k, v in values.items()})
+    words = lambda text: F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z][a-z0-9]*"), F.lit(0))
+    near = let(words(before), lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - BEFORE + 1), F.lit(BEFORE)))
+    beside = _buckets(F.concat(near, F.slice(words(after), 1, AFTER)), NEAR)
+    place = _buckets(words(path), PLACE)
+    bits = lambda found, n: let(found, lambda b: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.array_contains(b, j).cast("double")))
+    return F.concat(F.array(*[dense[k].cast("double") for k in DENSE]), bits(beside, NEAR), bits(place, PLACE))
 
 
-def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """(path, before, secret, after, label): findings made by rule, half of them secrets, the same each time."""
+def labelled_findings(spark: SparkSession, n: int = 3000, words: list[str] | None = None) -> DataFrame:
+    """(path, before, secret, after, label): findings made by rule, half of them secrets, the same each time.
+
+    They stand in for a labelled table where none is given: read_findings reads one of one's own. Prose around a finding is
+    drawn from ``words``.
+    """
+    prose = words or [w for w in WORDS if w not in TELLING]
+    block = F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(F.concat(F.base64(F.unhex(F.concat(F.sha2(F.concat(F.lit("k1"), F.col("id").cast("string")), 256), F.lit("ab")))), F.lit("\n")), 6), F.lit("-----END PRIVATE KEY-----"))
     made = spark.range(0, n, 1, 1)
     h = lambda k: F.sha2(F.concat_ws(":", F.lit(k), F.col("id").cast("string")), 256)
     pickone = lambda k, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(xs))) + 1).cast("int"))
     letters = lambda k, m: F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(h(k), h(k + "'")))), "[+/=]", ""), 1, m)
     digits = lambda k, m: F.substring(F.regexp_replace(h(k), "[a-f]", ""), 1, m)
     word = lambda k: pickone(k, WORDS)
+    text = lambda k: F.concat_ws(" ", *[pickone(f"{k}{j}", prose) for j in range(4)])
     kind = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(10))
     good = F.pmod("id", F.lit(2)) == 0
     secret = (
-        F.when(kind == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(h("a"), 1, 16)))).when(kind == 1, F.concat(F.lit("ghp_"), letters("b", 36)))
+        F.when((kind == 0) & (F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(3)) == 0), block).when(kind == 0, F.concat(F.lit("AKIA"), F.upper(F.substring(h("a"), 1, 16)))).when(kind == 1, F.concat(F.lit("ghp_"), letters("b", 36)))
         .when(kind.isin(2, 3), F.substring(h("c"), 1, 40)).when(kind == 4, F.substring(h("d"), 1, 32)).when(kind == 5, letters("e", 40)).when(kind == 6, F.substring(h("f"), 1, 12))
         .when(kind == 7, F.substring(h("f"), 1, 16)).when(kind == 8, F.concat(letters("g", 7), F.lit("!"), digits("g", 3), F.lit("_"), letters("i", 4))).otherwise(letters("h", 16))
     )
@@ -112,41 +131,138 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         .when(kind == 8, F.concat(word("2"), F.initcap(word("3")), F.initcap(word("4")), F.initcap(word("5")), digits("5", 2))).otherwise(F.regexp_replace(h("6"), "[a-f]", "0"))
     )
     # Keys of a known form need no name beside them.
-    secret_before = F.when((kind <= 1) & (F.pmod(F.xxhash64(F.lit("bare"), "id"), F.lit(4)) > 0), F.concat(word("7"), F.lit(" "), pickone("8'", ["key ", "use ", "the ", "with ", ""]))).otherwise(F.concat(word("7"), F.lit(" "), pickone("8", ["token = \"", "password=", "api_key: ", "secret: \"", "access_key=", "pwd = '", "credential: ", "auth token: "])))
-    harmless_before = F.when(kind.isin(1, 2, 3, 9), F.concat(word("9"), F.lit(" "), pickone("A", ["commit ", "sha256: ", "checksum ", "etag = ", "digest: ", "example token ", "build ", "revision: ", "test hash = "]))).otherwise(
-        F.concat(word("B"), F.lit(" "), pickone("C", ["token = ", "password: ", "secret = ", "api_key=", "name: ", "key = ", "for ", "the "]))
+    secret_before = F.when((kind <= 1) & (F.pmod(F.xxhash64(F.lit("bare"), "id"), F.lit(4)) > 0), F.concat(text("7"), F.lit(" "), pickone("8'", ["key ", "use ", "the ", "with ", ""]))).otherwise(F.concat(text("7"), F.lit(" "), pickone("8", ["token = \"", "password=", "api_key: ", "secret: \"", "access_key=", "pwd = '", "credential: ", "auth token: "])))
+    harmless_before = F.when(kind.isin(1, 2, 3, 9), F.concat(text("9"), F.lit(" "), pickone("A", ["commit ", "sha256: ", "checksum ", "etag = ", "digest: ", "example token ", "build ", "revision: ", "test hash = "]))).otherwise(
+        F.concat(text("B"), F.lit(" "), pickone("C", ["token = ", "password: ", "secret = ", "api_key=", "name: ", "key = ", "for ", "the "]))
     )
     return made.select(
         F.when(F.pmod("id", F.lit(4)) == 1, pickone("D", ["tests/fixtures/a.py", "docs/example.md", "src/app.py", "spec/b.rb"])).otherwise(pickone("E", ["src/app.py", "src0", "config/prod.yml", "deploy.sh", "lib/main.go", "src7"])).alias("path"),
         F.when(good, secret_before).otherwise(harmless_before).alias("before"),
-        F.when(good, secret).otherwise(harmless).alias("secret"), pickone("F", ["\"", " ", "\n", "", " and"]).alias("after"), good.cast("double").alias("label"),
+        F.when(good, secret).otherwise(harmless).alias("secret"), F.concat(pickone("F", ["\"", " ", "\n", "", " and"]), F.lit(" "), text("G")).alias("after"), good.cast("double").alias("label"),
     )
 
 
-def fit(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> PipelineModel:
-    """Trains on labelled findings (path, before, secret, after, label)."""
-    rows = featured(labelled.where("secret is not null and label is not null").select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("before", F.lit("")).alias("before"), "secret", F.coalesce("after", F.lit("")).alias("after"), F.col("label").cast("double").alias("label")))
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="probabilities")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows)
+@dataclass
+class Forest:
+    """The trees as nested tuples (feature, threshold, left, right) or the probability of a leaf, and the dictionary's pattern."""
+
+    trees: list
+    dictionary: str
+
+    def probability(self, v: Column) -> Column:
+        value = {}
+
+        def node(t) -> Column:
+            if not isinstance(t, tuple):
+                return F.lit(t)
+            feature, threshold, left, right = t
+            if feature not in value:
+                value[feature] = F.get(v, F.lit(feature))
+            return F.when(value[feature] <= threshold, node(left)).otherwise(node(right))
+
+        total = node(self.trees[0])
+        for t in self.trees[1:]:
+            total = total + node(t)
+        return total / len(self.trees)
+
+
+def _trees(spark: SparkSession, model: RandomForestClassificationModel) -> list:
+    """The model's trees, read from its saved form."""
+    path = f"{shared_folder(spark)}/forest-{model.uid}"
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/data").collect()
+    delete(spark, path)
+    nodes = {(r["treeID"], r["nodeData"]["id"]): r["nodeData"] for r in rows}
+
+    def build(tree: int, i: int):
+        n = nodes[tree, i]
+        if n["leftChild"] < 0:
+            stats = n["impurityStats"]
+            return float(stats[1] / sum(stats))
+        return (n["split"]["featureIndex"], float(n["split"]["leftCategoriesOrThreshold"][0]), build(tree, n["leftChild"]), build(tree, n["rightChild"]))
+
+    return [build(t, 0) for t in sorted({t for t, _ in nodes})]
+
+
+def pattern_of(words: list[str]) -> str:
+    """The longest word first, so that a match covers as much as it can."""
+    return "|".join(sorted({w for w in [*words, *WORDS] if len(w) >= LETTERS}, key=lambda w: (-len(w), w)))
+
 
+def fit(labelled: DataFrame, words: list[str] = [], trees: int = 24, depth: int = 7, seed: int = 7) -> Forest:  # noqa: B006
+    """Trains on labelled findings (path, before, secret, after, label), with the words of the corpus in the dictionary."""
+    dictionary = pattern_of(words)
+    clean = labelled.where("secret is not null and label is not null").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("path", "before", "secret", "after")], F.col("label").cast("double").alias("label"))
+    rows = clean.select(array_to_vector(features(F.col("path"), F.col("before"), F.col("secret"), F.col("after"), dictionary)).alias("features"), "label")
+    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(rows)
+    return Forest(_trees(labelled.sparkSession, model), dictionary)
 
-def scan(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
-    """One row per candidate: id_col, start, length, kind, secret, probability, is_secret."""
-    model = fit(labelled if labelled is not None else labelled_findings(df.sparkSession))
-    scored = model.transform(featured(candidates(df, id_col, text_col, path_col)))
-    probability = F.round(vector_to_array("probabilities")[1], 6)
-    kind = F.when(F.col("known") == 1, "key format").when(F.col("named") == 1, "assigned").otherwise("random run")
-    return scored.select(F.col("id").alias(id_col), F.col("start").cast("long").alias("start"), F.length("secret").alias("length"), kind.alias("kind"), "secret", probability.alias("probability"), (probability >= threshold).alias("is_secret"))
+
+def trained(df: DataFrame, labelled: DataFrame | None, text_col: str) -> Forest:
+    """A forest for a corpus: its words, and the labelled findings or, without any, those made by rule."""
+    words = top_words(df, text_col)
+    return fit(labelled if labelled is not None else labelled_findings(df.sparkSession), words)
+
+
+def pieces(text: Column) -> Column:
+    """array<string>: gap, match, gap, match, ..., gap; one pass of the pattern."""
+    plain = F.translate(text, _MARK, "\ufffe")
+    return F.split(F.regexp_replace(plain, PATTERN, f"{_MARK}$0{_MARK}"), _MARK, -1)
+
+
+def _hits(p: Column, at: Column | None) -> Column:
+    """array<struct<start, secret, before, after>> of the matches among the pieces, which begin at ``at`` (start 0 without it)."""
+
+    def hit(k: Column) -> Column:
+        found = F.get(p, k)
+        name = F.regexp_extract(found, f"^{ASSIGNED}", 0)
+        return F.struct(
+            (F.lit(0).cast("bigint") if at is None else F.get(at, k) + F.length(name)).alias("start"), F.substr(found, F.length(name) + 1).alias("secret"),
+            F.concat(F.substring(F.get(p, k - 1), -60, 60), name).alias("before"), F.substring(F.get(p, k + 1), 1, 40).alias("after"),
+        )
+
+    return F.when(F.size(p) > 2, F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), hit)).otherwise(F.array().cast("array<struct<start:bigint,secret:string,before:string,after:string>>"))
+
+
+def _located(text: Column) -> Column:
+    return let(pieces(text), lambda p: let(sums_before(F.transform(p, F.length)), lambda at: _hits(p, at)))
+
+
+def candidates(df: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
+    """(id, path, start, secret, before, after) of all matches; one small row each."""
+    rows = pick(df, **({"id": id_col, "text": text_col} | ({"path": path_col} if path_col else {})))
+    path = F.coalesce(F.col("path").cast("string"), F.lit("")) if path_col else F.lit("")
+    return rows.select("id", path.alias("path"), F.explode(_located(F.col("text"))).alias("x")).select("id", "path", "x.*")
+
+
+def scan(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, forest: Forest | None = None) -> DataFrame:
+    """One row per candidate: id_col, start, length, kind, secret, probability, is_secret. ``forest``: one that was trained before."""
+    forest = forest or trained(df, labelled, text_col)
+    found = candidates(df, id_col, text_col, path_col)
+    vector = features(F.col("path"), F.col("before"), F.col("secret"), F.col("after"), forest.dictionary)
+    scored = found.withColumn("x", let(vector, lambda v: F.struct(F.round(forest.probability(v), 6).alias("p"), (F.get(v, F.lit(DENSE.index("known"))) == 1).alias("known"), (F.get(v, F.lit(DENSE.index("named"))) == 1).alias("named"))))
+    kind = F.when(F.col("x.known"), "key format").when(F.col("x.named"), "assigned").otherwise("random run")
+    return scored.select(F.col("id").alias(id_col), F.col("start").cast("long").alias("start"), F.length("secret").alias("length"), kind.alias("kind"), "secret", F.col("x.p").alias("probability"), (F.col("x.p") >= threshold).alias("is_secret"))
 
 
 MARK = "[SECRET]"
 
 
-def redact(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """df with each secret replaced by MARK. Texts without candidates, the most, pass without a shuffle."""
-    hit = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
-    some = df.where(hit).withColumn("_row", F.xxhash64(id_col, text_col))
-    found = scan(some.select("_row", text_col, *([path_col] if path_col else [])), labelled, "_row", text_col, path_col).where("is_secret").groupBy("_row").agg(F.array_distinct(F.collect_list("secret")).alias("_secrets"))
-    longest = lambda a, b: F.length(b) - F.length(a)
-    cleaned = F.when(F.col("_secrets").isNull(), F.col(text_col)).otherwise(F.aggregate(F.array_sort("_secrets", longest), F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MARK))))
-    return df.where(~hit).unionByName(some.join(found, "_row", "left").withColumn(text_col, cleaned).drop("_row", "_secrets"))
+def redact(df: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5, forest: Forest | None = None) -> DataFrame:
+    """df, all columns, with MARK in the place of each secret: by its offsets, so the same characters elsewhere stay."""
+    forest = forest or trained(df, labelled, text_col)
+    rows, text, names = numbered_columns(df, text_col)
+    path = F.coalesce(F.col(f"c{names.index(path_col)}").cast("string"), F.lit("")) if path_col else F.lit("")
+
+    def cleaned(p: Column) -> Column:
+        def verdict(x: Column) -> Column:
+            sure = let(features(path, x["before"], x["secret"], x["after"], forest.dictionary), forest.probability)
+            return F.when(F.round(sure, 6) >= threshold, F.length(x["secret"])).otherwise(0)
+
+        # The characters that go at the end of each match; a name that the value is assigned to stays before the mark.
+        def put(gone: Column) -> Column:
+            return F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 0, x).otherwise(let(F.get(gone, F.floor(i / 2).cast("int")), lambda g: F.when(g > 0, F.concat(F.substr(x, F.lit(1), F.length(x) - g), F.lit(MARK))).otherwise(x)))), "")
+
+        return F.when(F.size(p) > 2, let(F.transform(_hits(p, None), verdict), put)).otherwise(F.col(text))
+
+    return rows.withColumn(text, let(pieces(F.col(text)), cleaned)).toDF(*names)

@@ -1,19 +1,20 @@
 """Toxicity by nearest labelled examples.
 
-Texts are sparse TF-IDF vectors over all words of the labelled examples. The k nearest examples by exact cosine are found
-in two steps: the cosines to all examples in single precision (a dense product for the commonest words, an inverted index
-for all others), then those within the strict error bound of the k-th best again in double precision. These neighbours
-are the evidence. Most words of a text say nothing of its label, so the k nearest by telling words alone (clearly more
-frequent with label 1) vote beside them; a text without such words has the votes of the first. Votes weighted by nearness
-are turned into calibrated probabilities by isotonic regression on examples, each scored without itself.
+Texts are sparse vectors over all words of the labelled examples: term frequency x inverse document frequency x relevance
+frequency (tf.idf.rf: words that stand more often in label-1 examples weigh more; no word is left out). The k nearest
+examples by exact cosine come from an inverted index with block maxima: rare words are looked up, common words give each block
+of examples a bound, and only examples whose bound reaches the k-th best are scored, in double precision. The neighbours are the
+evidence; their votes, weighted by nearness, become calibrated probabilities by isotonic regression on examples, each
+scored without itself.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_examples``, by hash order), calibrated on
 ``calibrate_on`` of them; document frequencies are counted over all documents. What is sent to the executors is bounded by
-the words of these examples; no word of theirs is left out. Words that no example has are no part of a vector.
+the words of these examples. Words that no example has are no part of a vector. Ties between examples go by their vectors
+and labels, never by their ids.
 
 Defined results: a null or empty text, or one without known words, has no neighbours and gets the share of label 1 among
 such examples; with no usable labels each score is 0; a document labelled twice counts as toxic if any label says so;
-null labels and ids are left out; other columns are dropped.
+null labels and ids are left out; other columns are dropped (score) or kept (reject).
 """
 
 from __future__ import annotations
@@ -30,19 +31,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_remainder, pick
+from tidemark.llm.common import crc_remainder, cut, pick, portions
 
-MAX_EXAMPLES = 20_000
-#: Telling words at most; the search by all words has no such limit.
-MAX_TERMS = 20_000
+MAX_EXAMPLES = 5_000
 #: Examples scored without themselves to calibrate the votes, evenly from all.
-CALIBRATE = 3000
+CALIBRATE = 3_000
 NEIGHBOURS = 15
-#: Words in the dense product, and texts in one such product.
-DENSE = 256
-TEXTS = 64
-#: Over twice the error of a cosine in single precision: at most DENSE + 3 roundings of sums that are 1 at most.
-MARGIN = 2 * (DENSE + 8) * 2.0**-24
+#: The power of the relevance frequency.
+RELEVANCE = 2.0
+#: Words in at least one of so many examples are common: they have block maxima instead of lists.
+SHARE = 4
+#: Examples in a block, common words at most, and texts in one product with the maxima.
+BLOCK, COMMON, TEXTS = 4, 1024, 64
+#: Above the error of a bound in single precision: at most COMMON + 8 roundings of sums that are 1 at most, for two sides.
+MARGIN = 2 * (COMMON + 8) * 2.0**-24
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -57,7 +59,7 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of examples by example and by term."""
+    """Unit vectors of examples by example, and by term with block maxima."""
 
     def __init__(self, n: int, postings: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
         terms = np.repeat(np.array(list(postings), np.int32), [len(r) for r, _ in postings.values()])
@@ -78,17 +80,18 @@ class Index:
         self.first, self.terms, self.weights = first, terms, weights
 
     def _ready(self) -> None:
-        """The inverted index and the dense product's matrix, made where they are used."""
+        """The lists and the block maxima, made where they are used."""
         if hasattr(self, "rows_of"):
             return
         rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
         counts = np.bincount(self.terms, minlength=self.n_terms)
-        common = np.sort(np.argsort(-counts, kind="stable")[:DENSE])
+        common = np.argsort(-counts, kind="stable")[:COMMON]
+        common = np.sort(common[counts[common] * SHARE >= max(self.n, 1)])
         self.place = np.full(self.n_terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
         at = self.place[self.terms]
-        self.dense = np.zeros((len(common), self.n), np.float32)
-        self.dense[at[at >= 0], rows[at >= 0]] = self.weights[at >= 0]
+        self.most = np.zeros((len(common), -(-self.n // BLOCK)), np.float32)
+        np.maximum.at(self.most, (at[at >= 0], rows[at >= 0] // BLOCK), np.nextafter(self.weights[at >= 0].astype(np.float32), np.float32(2)))
         rest = np.flatnonzero(at < 0)
         rest = rest[np.argsort(self.terms[rest], kind="stable")]
         self.sizes = np.where(self.place < 0, counts, 0)
@@ -105,32 +108,42 @@ class Index:
         out = []
         for i in range(0, len(queries), TEXTS):
             some = queries[i : i + TEXTS]
-            q = np.zeros((len(some), len(self.dense)), np.float32)
+            q = np.zeros((len(some), len(self.most)), np.float32)
             for j, (t, x) in enumerate(some):
                 at = self.place[t]
                 q[j, at[at >= 0]] = x[at >= 0]
-            scores = q @ self.dense
+            bounds = q @ self.most
             for j, (t, x) in enumerate(some):
-                out.append(self._best(scores[j], t, x, k, without[i + j] if without else -1))
+                out.append(self._best(bounds[j], t, x, k, without[i + j] if without else -1))
         return out
 
-    def _best(self, scores: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+    def _cosines(self, near: np.ndarray) -> np.ndarray:
+        """Of the query in the scratch and some examples, in double precision."""
+        sizes = self.first[near + 1] - self.first[near]
+        at = _spans(self.first[near], sizes)
+        return np.bincount(np.repeat(np.arange(len(near)), sizes), self.scratch[self.terms[at]] * self.weights[at], len(near))
+
+    def _best(self, bounds: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
         sizes = self.sizes[t]
         at = _spans(self.starts[t], sizes)
-        scores = scores + np.bincount(self.rows_of[at], np.repeat(x, sizes) * self.weights_of[at], self.n)
+        upper = np.bincount(self.rows_of[at], np.repeat(x, sizes) * self.weights_of[at], self.n) + np.repeat(bounds, BLOCK)[: self.n]
         if without >= 0:
-            scores[without] = 0
-        least = np.partition(scores, self.n - k)[self.n - k] - MARGIN if self.n > k else 0
-        near = np.flatnonzero((scores >= least) & (scores > 0))
-        if not len(near):
-            return []
+            upper[without] = 0
         self.scratch[t] = x
-        sizes = self.first[near + 1] - self.first[near]
-        at = _spans(self.first[near], sizes)
-        exact = np.bincount(np.repeat(np.arange(len(near)), sizes), self.scratch[self.terms[at]] * self.weights[at], len(near))
+        near = np.argpartition(upper, self.n - 2 * k)[self.n - 2 * k :] if self.n > 2 * k else np.arange(self.n)
+        near = near[upper[near] > 0]
+        exact = self._cosines(near)
+        if self.n > 2 * k:
+            # The k-th best of these is a floor; whoever's bound reaches it is scored as well.
+            floor = np.partition(exact, len(exact) - k)[len(exact) - k] - MARGIN if len(exact) >= k else 0.0
+            upper[near] = 0
+            more = np.flatnonzero((upper >= floor) & (upper > 0))
+            near, exact = np.concatenate([near, more]), np.concatenate([exact, self._cosines(more)])
+            ahead = np.argsort(near)
+            near, exact = near[ahead], exact[ahead]
         self.scratch[t] = 0
         order = np.argsort(-exact, kind="stable")[:k]
-        return list(zip(exact[order].tolist(), near[order].tolist(), strict=True))
+        return [(c, i) for c, i in zip(exact[order].tolist(), near[order].tolist(), strict=True) if c > 0]
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """As nearest_of, for one query by term."""
@@ -170,18 +183,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     known: dict[str, int]
-    idf: np.ndarray
+    #: The weight of each word: inverse document frequency x relevance.
+    weight: np.ndarray
     index: Index
-    #: For each word its number among the telling ones, or -1; the examples by these.
-    telling: np.ndarray
-    told: Index
     labels: np.ndarray
     ids: list
     prior: float
     empty: float
-    knots: np.ndarray
-    values: np.ndarray
     k: int = NEIGHBOURS
+    knots: np.ndarray | None = None
+    values: np.ndarray | None = None
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = np.array([c * c for c, _ in near])
@@ -192,27 +203,20 @@ class Model:
         at = slice(self.index.first[i], self.index.first[i + 1])
         return self.index.terms[at], self.index.weights[at]
 
-    def near(self, found: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[list, list]]:
-        """For the words of each text and their weights: its neighbours by all words, and by telling words."""
-        out = []
-        for index, number in ((self.index, None), (self.told, self.telling)):
-            queries = []
-            for t, x in found:
-                some = (t if number is None else number[t]) >= 0
-                queries.append((t[some] if number is None else number[t[some]], unit(x[some])))
-            full = [i for i, (t, _) in enumerate(queries) if len(t)]
-            nearest = [[] for _ in queries]
-            for i, x in zip(full, index.nearest_of([queries[i] for i in full], self.k, [without[i] for i in full] if without else None), strict=True):
-                nearest[i] = x
-            out.append(nearest)
-        return list(zip(*out, strict=True))
+    def near(self, found: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The neighbours of each text, from its words and their weights; none for a text without words."""
+        full = [i for i, (t, _) in enumerate(found) if len(t)]
+        out: list[list[tuple[float, int]]] = [[] for _ in found]
+        for i, x in zip(full, self.index.nearest_of([(found[i][0], unit(found[i][1])) for i in full], self.k, [without[i] for i in full] if without else None), strict=True):
+            out[i] = x
+        return out
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
         """The score and the neighbours of each text."""
         for i in range(0, len(texts), TEXTS):
-            found = [(t, (1 + np.log(c)) * self.idf[t]) for t, c in (counted(x, self.known) for x in texts[i : i + TEXTS])]
-            for near, told in self.near(found):
-                yield (float(np.interp(self.vote(near + told), self.knots, self.values)) if near and len(self.knots) else self.empty), near
+            found = [(t, (1 + np.log(c)) * self.weight[t]) for t, c in (counted(x, self.known) for x in texts[i : i + TEXTS])]
+            for near in self.near(found):
+                yield (float(np.interp(self.vote(near), self.knots, self.values)) if near and len(self.knots) else self.empty), near
 
 
 def _sample(labels: DataFrame, limit: int) -> DataFrame:
@@ -221,10 +225,10 @@ def _sample(labels: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("id"), "id").limit(limit)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, min_docs: int = 4, min_z: float = 3.5, min_lift: float = 3.0, calibrate_on: int = CALIBRATE) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, relevance: float = RELEVANCE, calibrate_on: int = CALIBRATE) -> tuple[Broadcast, np.ndarray, np.ndarray]:
     """docs: (id, text); labels: (id, y) of the rows to learn from. Gives the model, sent to the executors, and its knots and values."""
     spark = docs.sparkSession
-    chosen = docs.join(F.broadcast(_sample(labels, max_examples)), "id")
+    chosen = cut(docs.join(F.broadcast(_sample(labels, max_examples)), "id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -243,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     n, d0, d1 = n0 + n1, d0[1:], d1[1:]
     if not n:
         none = Index.of(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0))
-        return spark.sparkContext.broadcast(Model({}, np.zeros(0), none, np.zeros(0, np.int32), none, np.zeros(0), [], 0.0, 0.0, np.zeros(0), np.zeros(0), k)), np.zeros(0), np.zeros(0)
+        return spark.sparkContext.broadcast(Model({}, np.zeros(0), none, np.zeros(0), [], 0.0, 0.0, k)), np.zeros(0), np.zeros(0)
     known = {w: i for i, w in enumerate(words.column("w").slice(1).to_pylist())}
     del words
     shared = spark.sparkContext.broadcast(known)
@@ -252,9 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         known = shared.value
         counts, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
-            for text in batch.column("text"):
-                counts[[known[w] for w in set(words_of(text.as_py())) if w in known]] += 1
-                n += 1
+            for part in portions(batch, "text"):
+                found = [known[w] for text in part.column("text").to_pylist() for w in set(words_of(text)) if w in known]
+                counts += np.bincount(np.array(found, np.int64), minlength=len(known))
+                n += part.num_rows
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], counts[some]]))], names=["t", "n"])
 
@@ -262,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     df = np.zeros(len(known) + 1, np.int64)
     df[found.column("t").to_numpy()] = found.column("n").to_numpy()
     del found
-    idf = np.log((df[-1] + 1) / (df[:-1] + 0.5))
+    weight = np.log((df[-1] + 1) / (df[:-1] + 0.5)) * np.log2(2 + d1 / np.maximum(d0, 1)) ** relevance
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,42 +275,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([t.astype(np.int32).tobytes() for t, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["id", "y", "t", "c"])
 
     rows = chosen.mapInArrow(bags, f"id {docs.schema['id'].dataType.simpleString()}, y int, t binary, c binary").toArrow().to_pylist()
-    # Examples without words are not in the index.
-    blank, rows = [r["y"] for r in rows if not r["t"]], sorted((r for r in rows if r["t"]), key=lambda r: (r["id"], r["t"], r["c"]))
+    # Examples without words are not in the index. The others lie in the order of their vectors and labels, so that ids decide nothing.
+    blank, rows = [r["y"] for r in rows if not r["t"]], sorted((r for r in rows if r["t"]), key=lambda r: (r["t"], r["c"], r["y"], r["id"]))
     first = np.cumsum([0] + [len(r["t"]) // 4 for r in rows])
     terms, counts = (np.frombuffer(b"".join(r[x] for r in rows), np.int32) for x in ("t", "c"))
     ids, y = [r["id"] for r in rows], np.array([r["y"] for r in rows], float)
     del rows
-
-    def index_of(number: np.ndarray) -> Index:
-        """Of the words that have a number, by it."""
-        some = number[terms] >= 0
-        begins = np.concatenate([[0], np.cumsum(some)])[first]
-        x = (1 + np.log(counts[some])) * idf[terms[some]]
-        sizes = np.diff(begins)
-        return Index.of(begins, number[terms[some]], x / np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), x * x, len(sizes))), sizes))
-
-    # Words that stand clearly more often in texts of label 1, in share and beyond chance.
-    share = (d0 + d1) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (d1 / max(n1, 1) - d0 / max(n0, 1)) / np.sqrt(share * (1 - share) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    z[~((d0 + d1 >= min_docs) & (share < 1) & (d1 * n0 >= min_lift * n1 * d0))] = -1
-    best = np.argsort(-z, kind="stable")[:max_terms]
-    best = np.sort(best[z[best] >= min_z])
-    telling = np.full(len(known), -1, np.int32)
-    telling[best] = np.arange(len(best))
+    x = (1 + np.log(counts)) * weight[terms]
+    sizes = np.diff(first)
+    index = Index.of(first, terms, x / np.repeat(np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), x * x, len(sizes))), sizes))
     prior = n1 / n
-    model = Model(known, idf, index_of(np.arange(len(known), dtype=np.int32)), telling, index_of(telling), y, ids, prior, (sum(blank) + prior) / (len(blank) + 1), np.zeros(0), np.zeros(0), k)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(Model(known, weight, index, y, ids, prior, (sum(blank) + prior) / (len(blank) + 1), k))
     step = max(1, -(-len(ids) // calibrate_on))
-    del model, terms, counts
+    del index, terms, counts, x
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             picked = batch.column("id").to_pylist()
-            near = model.near([model.example(i) for i in picked], picked)
-            found = [(model.vote(a + b), model.labels[i]) for i, (a, b) in zip(picked, near, strict=True) if a]
+            found = [(model.vote(a), model.labels[i]) for i, a in zip(picked, model.near([model.example(i) for i in picked], picked), strict=True) if a]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())], names=["v", "y"])
 
     pairs = spark.range(0, len(ids), step).mapInArrow(votes, "v double, y double").toArrow().sort_by([("v", "ascending"), ("y", "ascending")]) if ids else None
@@ -327,11 +315,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = shared.value
         model.knots, model.values = knots, values
         for batch in batches:
-            found = list(model.scores(batch.column("text").to_pylist()))
-            evidence = [[{"id": model.ids[i], "cosine": c, "label": int(model.labels[i])} for c, i in near[:3]] for _, near in found]
-            scores = pa.array([s for s, _ in found], pa.float64())
             kinds = pa.list_(pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), scores, pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(evidence, kinds)], names=[id_col, "held_out", "score", "predicted", "evidence"])
+            for part in portions(batch, "text"):
+                found = list(model.scores(part.column("text").to_pylist()))
+                evidence = [[{"id": model.ids[i], "cosine": c, "label": int(model.labels[i])} for c, i in near[:3]] for _, near in found]
+                scores = pa.array([s for s, _ in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), scores, pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(evidence, kinds)], names=[id_col, "held_out", "score", "predicted", "evidence"])
 
     return rows.withColumn("held_out", held).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, evidence array<struct<id: {kind}, cosine: double, label: int>>")
 
@@ -347,6 +336,7 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = shared.value
         model.knots, model.values = knots, values
         for batch in batches:
-            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch.column(at).to_pylist())], pa.bool_()))
+            for part in portions(batch, at):
+                yield part.filter(pa.array([s < threshold for s, _ in model.scores(part.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
