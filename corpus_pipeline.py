@@ -1,20 +1,27 @@
 """The corpus pipeline: documents to token ids, in five stages that each work on all that the one before kept.
 
-Every stage but the last returns the columns of documents. run() writes each stage's result as Parquet in the shared
-checkpoint folder and reads it again for the next. SQL can't express the stages (see tests/llm for brute-force versions).
+Every stage but the last returns the columns of documents. run() writes each stage's result as Parquet in the shared folder and
+reads it again for the next; a stage's input and its intermediate tables are deleted once its result is written, so at most two
+copies of the documents are there at a time, and the last one stays, as the result is read from it. SQL can't express the stages
+(see tests/llm for brute-force versions).
+
+Defined results: null and empty texts pass all stages (they are not toxic unless labelled empty texts are, have no near copies,
+no secrets and no tokens) unless the mixing thins them out; documents without an id are no near copies of any; repeated rows of
+one id are near copies of each other under the same id and both stay; an empty table gives an empty result; further columns
+of documents are kept until the last stage.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngram_join, secrets, toxicity
-from tidemark.llm.common import shared_folder, table
+from tidemark.llm.common import scope, shared_folder, table
 from tidemark.llm.queries import DOMAINS, domain_of_labels
+from tidemark.scratch import delete
 
 ORACLE_SQL = None
 
@@ -36,16 +43,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Noisy documents are thinned out to the target weights.
-
-    The total is set so that documents of the clean domain have rates above 1 and all stay.
-    """
-    shares = np.array(list(DOMAINS.values()))
-
-    def targets(totals: np.ndarray) -> np.ndarray:
-        return np.minimum(shares / shares[0] * 1.05 * totals[0], [np.inf, totals[1]])
-
-    return mixing.thin_to_targets(docs, table(spark, sf_dir, "labels"), domain_of_labels(), list(DOMAINS), targets)
+    """Noisy documents are thinned out to their share beside the clean ones, which all stay."""
+    return mixing.thin_to_shares(docs, table(spark, sf_dir, "labels"), domain_of_labels(), list(DOMAINS), list(DOMAINS.values()))[0]
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +57,13 @@ STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_copies), ("secre
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{k}-{name}"
+        docs = spark.read.parquet(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
