@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_remainder, cut, pick, portions
 
-MAX_EXAMPLES = 5_000
+MAX_EXAMPLES = 3_000
 #: Examples scored without themselves to calibrate the votes, evenly from all.
 CALIBRATE = 3_000
 NEIGHBOURS = 15
@@ -153,9 +153,7 @@ class Index:
 
 def counted(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The known words of a text, ascending, and how often each is in it."""
-    found = sorted((known[w], c) for w, c in Counter(words_of(text)).items() if w in known)
-    both = np.array(found, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    return np.unique(np.array([known[w] for w in words_of(text) if w in known], np.int64), return_counts=True)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
