@@ -2,9 +2,9 @@
 
 Texts are sparse vectors over all words of the labelled examples: term frequency x inverse document frequency x relevance
 frequency (tf.idf.rf: words that stand more often in label-1 examples weigh more; no word is left out). The k nearest
-examples by exact cosine come from an inverted index with block maxima: rare words are looked up, common words give each block
-of examples a bound, and only examples whose bound reaches the k-th best are scored, in double precision. The neighbours are the
-evidence; their votes, weighted by nearness, become calibrated probabilities by isotonic regression on examples, each
+examples by exact cosine come from an inverted index with block maxima: rare words are looked up (longer lists as rows of a
+product), the commonest give each block of examples a bound, and only examples whose bound reaches the k-th best are scored, in
+double precision. The neighbours are the evidence; their votes, weighted by nearness, become calibrated probabilities by isotonic regression on examples, each
 scored without itself.
 
 The classifier is fitted on a bounded sample of labelled rows (``max_examples``, by hash order), calibrated on
@@ -41,15 +41,21 @@ NEIGHBOURS = 15
 RELEVANCE = 2.0
 #: Words in at least one of so many examples are common: they have block maxima instead of lists.
 SHARE = 4
-#: Examples in a block, common words at most, and texts in one product with the maxima.
+#: Lists of at least one of so many examples are kept as rows.
+LONG = 64
+#: Examples in a block, common words and long lists at most, and texts in one product with them.
 BLOCK, COMMON, TEXTS = 4, 1024, 64
 #: Above the error of a bound in single precision: at most COMMON + 8 roundings of sums that are 1 at most, for two sides.
 MARGIN = 2 * (COMMON + 8) * 2.0**-24
 _words = re.compile(r"[^\W\d_]+").findall
+#: The same for lower-case ASCII texts.
+_ascii_words = re.compile(r"[a-z]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+    if not text:
+        return []
+    return _ascii_words(text.lower()) if text.isascii() else _words(text.lower())
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,16 +91,23 @@ class Index:
             return
         rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.first))
         counts = np.bincount(self.terms, minlength=self.n_terms)
-        common = np.argsort(-counts, kind="stable")[:COMMON]
-        common = np.sort(common[counts[common] * SHARE >= max(self.n, 1)])
+        often = np.argsort(-counts, kind="stable")
+        common = np.sort(often[:COMMON][counts[often[:COMMON]] * SHARE >= max(self.n, 1)])
+        long = often[len(common) :][:COMMON]
+        long = np.sort(long[counts[long] * LONG >= max(self.n, 1)])
+        self.row_of = np.full(self.n_terms, -1, np.int32)
+        self.row_of[long] = np.arange(len(long))
         self.place = np.full(self.n_terms, -1, np.int32)
         self.place[common] = np.arange(len(common))
         at = self.place[self.terms]
         self.most = np.zeros((len(common), -(-self.n // BLOCK)), np.float32)
         np.maximum.at(self.most, (at[at >= 0], rows[at >= 0] // BLOCK), np.nextafter(self.weights[at >= 0].astype(np.float32), np.float32(2)))
-        rest = np.flatnonzero(at < 0)
+        listed = self.row_of[self.terms]
+        self.rows = np.zeros((len(long), self.n), np.float32)
+        self.rows[listed[listed >= 0], rows[listed >= 0]] = self.weights[listed >= 0]
+        rest = np.flatnonzero((at < 0) & (listed < 0))
         rest = rest[np.argsort(self.terms[rest], kind="stable")]
-        self.sizes = np.where(self.place < 0, counts, 0)
+        self.sizes = np.where((self.place < 0) & (self.row_of < 0), counts, 0)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.rows_of, self.weights_of = rows[rest], self.weights[rest].astype(np.float32)
         self.scratch = np.zeros(self.n_terms)
@@ -108,11 +121,12 @@ class Index:
         out = []
         for i in range(0, len(queries), TEXTS):
             some = queries[i : i + TEXTS]
-            q = np.zeros((len(some), len(self.most)), np.float32)
+            q, r = np.zeros((len(some), len(self.most)), np.float32), np.zeros((len(some), len(self.rows)), np.float32)
             for j, (t, x) in enumerate(some):
-                at = self.place[t]
-                q[j, at[at >= 0]] = x[at >= 0]
-            bounds = q @ self.most
+                for made, place in ((q, self.place), (r, self.row_of)):
+                    at = place[t]
+                    made[j, at[at >= 0]] = x[at >= 0]
+            bounds = np.repeat(q @ self.most, BLOCK, axis=1)[:, : self.n] + r @ self.rows
             for j, (t, x) in enumerate(some):
                 out.append(self._best(bounds[j], t, x, k, without[i + j] if without else -1))
         return out
@@ -126,14 +140,15 @@ class Index:
     def _best(self, bounds: np.ndarray, t: np.ndarray, x: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
         sizes = self.sizes[t]
         at = _spans(self.starts[t], sizes)
-        upper = np.bincount(self.rows_of[at], np.repeat(x, sizes) * self.weights_of[at], self.n) + np.repeat(bounds, BLOCK)[: self.n]
+        upper = np.bincount(self.rows_of[at], np.repeat(x, sizes) * self.weights_of[at], self.n) + bounds
         if without >= 0:
             upper[without] = 0
         self.scratch[t] = x
-        near = np.argpartition(upper, self.n - 2 * k)[self.n - 2 * k :] if self.n > 2 * k else np.arange(self.n)
+        first = k + k // 3
+        near = np.argpartition(upper, self.n - first)[self.n - first :] if self.n > first else np.arange(self.n)
         near = near[upper[near] > 0]
         exact = self._cosines(near)
-        if self.n > 2 * k:
+        if self.n > first:
             # The k-th best of these is a floor; whoever's bound reaches it is scored as well.
             floor = np.partition(exact, len(exact) - k)[len(exact) - k] - MARGIN if len(exact) >= k else 0.0
             upper[near] = 0
