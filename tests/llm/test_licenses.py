@@ -12,7 +12,8 @@ def cosine(text):
     """The best cosine of a stretch to any template."""
     q = {k: n * IDF.get(k, UNKNOWN) for k, n in Counter(L.tokens(text)).items()}
     norm = math.sqrt(sum(x * x for x in q.values()))
-    return min(((-round(sum(x * v.get(k, 0) for k, x in q.items()) / norm, 9), n) for n, v in VECTORS), default=(0, None)) if q else (0, None)
+    shared = [(n, v) for n, v in VECTORS if len(q.keys() & v.keys()) >= L.least_shared(len(v))]
+    return min(((-round(sum(x * v.get(k, 0) for k, x in q.items()) / norm, 9), n) for n, v in shared), default=(0, None)) if q else (0, None)
 
 
 def own(text):
@@ -48,7 +49,7 @@ def test_texts_against_all_templates(spark):
     wrapped = lambda t, mark: "\n".join(f"{mark} {' '.join(w)}" for w in (lambda ws: [ws[i : i + 9] for i in range(0, len(ws), 9)])(t.split()))
     texts = [t for _, t in L.TEMPLATES]
     texts += [wrapped(t, "#") + "\n\n" + filler(40) for _, t in L.TEMPLATES] + [filler(30) + "\n * " + t for _, t in L.TEMPLATES[::2]] + [filler(n) for n in (3, 20, 200)]
-    texts += [" ".join(w for w in t.split() if random.random() < 0.7) for _, t in L.TEMPLATES] + ["", "the", "public domain", "MIT", None]
+    texts += [" ".join(w for w in t.split() if random.random() < 0.7) for _, t in L.TEMPLATES] + ["", "the", "public domain", "MIT", "mit mit", "Mit der Zeit.", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "cast(null as string) as path")
     got = {r.doc_id: (r.own_license, r.own_score) for r in L.scan(df).collect()}
     for i, t in enumerate(texts):

@@ -2,9 +2,10 @@
 
 A text is looked at as a whole, by paragraphs (the lines between blank ones, joined, without the marks of comments), by lines and
 by sentences. Each of these is compared with all templates, whole texts of licences and the headers and statements that refer to
-them, by the cosine of sparse TF-IDF vectors; identifiers of the SPDX kind count as they are. A stretch can only reach the
-threshold if it holds one of a template's weightiest words (what is left of the template without them is shorter than the
-threshold), so others are left out first, which loses nothing.
+them, by the cosine of sparse TF-IDF vectors, and has to share four words and a quarter of the words with it; identifiers of the SPDX kind count as they are. A
+stretch can only do so if it holds one of some words of the template: without these the rest of the template is shorter than
+the threshold, or too few words are left to share. Stretches without any such word are left out first, which loses nothing; the
+words are chosen so that ordinary text seldom has them.
 
 A file with a licence of its own has that licence. A licence file (by its name, or if the text found is most of it) also
 licenses its directory; a file without one inherits from the nearest directory above it that has one, up to the root. Directories
@@ -80,6 +81,13 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 THRESHOLD = 0.6
+#: Words that a stretch and a template have to share, or all of the template's if these are fewer; and a quarter of its words.
+SHARED = 4
+# Common words of languages that licences or texts are written in; they are the last to be looked for.
+COMMON = frozenset(
+    "a about after all also an and any are as at be been but by can com could de der die do el en first for from free had has have he her his how http https i if in inc into is it its la may mit more most my new no not of on one only or "
+    "org other our out over que shall she so some such than that the their them then there they this time to two under und up use was we were what when which who will with work would www you your".split()
+)
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9][a-z0-9.+-]*[a-z0-9+])"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
@@ -113,19 +121,33 @@ def vectors_of(templates) -> list[tuple[str, dict[str, float]]]:
     return out
 
 
+def least_shared(n: int) -> int:
+    """Of the n words of a template, those that a match has to share."""
+    return max(min(SHARED, n), -(-n // 4))
+
+
 def anchors(templates, threshold: float) -> list[str]:
-    """Words of which any text that reaches the threshold holds one: a template without its anchors is shorter than the threshold."""
+    """Words of which any text that matches a template holds one. Without its anchors a template is shorter than the threshold,
+    or has fewer words left than a match has to share."""
     found = set()
     for _, vector in vectors_of(templates):
-        left = sum(x * x for x in vector.values())
-        for w, x in sorted(vector.items(), key=lambda wx: (-wx[1], wx[0])):
-            if left < (threshold - 1e-9) ** 2:
+        least = least_shared(len(vector))
+        words = sorted(vector.items(), key=lambda wx: (wx[0] in COMMON or len(wx[0]) < 3, -wx[1], wx[0]))
+        for k, (w, x) in enumerate(words):
+            if sum(y * y for _, y in words[k:]) < (threshold - 1e-9) ** 2 or len(words) - k < least:
                 break
             found.add(w)
-            left -= x * x
     return sorted(found)
 
 
+def gate_of(words: list[str]) -> str:
+    """One of the words as a word, grouped by first letter, so that few of them are tried at a place."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(re.escape(w[1:]))
+    return rf"(?<![a-z0-9])(?:{'|'.join(f'{c}(?:{chr(124).join(rest)})' for c, rest in sorted(groups.items()))})(?![a-z0-9])"
+
+
 def stretches(text: Column, gate: str) -> Column:
     """array<string> of a text's sentences, lines, paragraphs and itself, of those that hold a word of the gate."""
     plain = F.regexp_replace(text, _COMMENT, " ")
@@ -148,15 +170,16 @@ def own_licences(files: DataFrame, templates, threshold: float) -> DataFrame:
     """files (key, text) to (key, score, name, most) of the best licence in each text; most: the stretch is half of the text or more."""
     spark = files.sparkSession
     # A bounded list: the templates' words, and the words of one stretch after the other, are joined by word.
-    words = [(w, float(x), i, n, idf) for i, (n, v) in enumerate(vectors_of(templates)) for w, x in v.items() for idf in [idf_of(templates)[w]]]
-    table = spark.createDataFrame(words, "w string, x double, t int, name string, idf double")
-    gate = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in anchors(templates, threshold))})(?![a-z0-9])"
+    idfs = idf_of(templates)
+    words = [(w, float(x), i, n, idfs[w], least_shared(len(v))) for i, (n, v) in enumerate(vectors_of(templates)) for w, x in v.items()]
+    table = spark.createDataFrame(words, "w string, x double, t int, name string, idf double, least int")
+    gate = gate_of(anchors(templates, threshold))
     texts = files.where(F.col("text").isNotNull())
     cut = texts.select("key", F.length(F.regexp_replace("text", r"\s", "")).alias("whole"), F.posexplode(stretches(F.col("text"), gate)).alias("s", "stretch"))
     counted = cut.select("key", "s", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("key", "s", "w").agg(F.count("*").alias("n"))
     weighed = counted.join(F.broadcast(table.select("w", "idf").distinct()), "w", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown(templates))))
     norms = weighed.groupBy("key", "s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.select("key", "s", "w", F.col("x").alias("q")).join(F.broadcast(table), "w").groupBy("key", "s", "t", "name").agg(F.sum(F.col("q") * F.col("x")).alias("dot"))
+    dots = weighed.select("key", "s", "w", F.col("x").alias("q")).join(F.broadcast(table), "w").groupBy("key", "s", "t", "name", "least").agg(F.sum(F.col("q") * F.col("x")).alias("dot"), F.count("*").alias("common")).where("common >= least")
     cosines = dots.join(norms, ["key", "s"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= threshold)
     sizes = cut.select("key", "s", "whole", (2 * F.length(F.regexp_replace("stretch", r"\s", "")) >= F.col("whole")).alias("most"))
     stated = cosines.join(sizes, ["key", "s"]).select("key", "score", "name", "most")

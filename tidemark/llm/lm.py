@@ -3,8 +3,9 @@
 P(w | h) = a2 c(h, w) / c(h) + a1 c(w) / N + a0 / (V + 1), with weights by bucket of the context's frequency c(h) (powers of
 two). The weights are learned by expectation-maximisation: one part of the training documents is deleted from the counts,
 and its tokens are predicted from the rest. For this only a histogram of the three estimates by bucket is gathered, with
-ratios in steps of a quarter octave, so it has a bounded size; the counts themselves never leave the executors. The scores
-use the counts of all training documents, over all words, without pruning.
+ratios in ``steps`` to an octave (a quarter octave by default; more steps come as close to the plain estimates as wanted, for a
+larger histogram), so it has a bounded size; the counts themselves never leave the executors. The scores use the counts of all
+training documents, over all words, without pruning and without such steps.
 
 Words are runs of other than ASCII white space with A-Z as a-z; each text ends with an end token, and the first word's
 context is a start symbol. 64-bit hashes stand for words and pairs of words. Counts travel by chunks and buckets (see
@@ -125,27 +126,35 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
 
-def _cell(ratio: np.ndarray) -> np.ndarray:
+#: Octaves of a ratio on either side of 1; none is beyond 2^64 of the vocabulary.
+OCTAVES = 130
+
+
+def _cell(ratio: np.ndarray, steps: int) -> np.ndarray:
+    """0 for a ratio of 0, else its logarithm in steps, from 1 on."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.clip(np.rint(STEPS * np.log2(ratio)), -400, 400) + 401, 0).astype(np.int64)
+        return np.where(ratio > 0, np.clip(np.rint(steps * np.log2(ratio)), -OCTAVES * steps, OCTAVES * steps) + OCTAVES * steps + 1, 0).astype(np.int64)
+
 
+def _histogram(words: int, tokens: int, steps: int):
+    cells = 2 * OCTAVES * steps + 2
 
-def _histogram(words: int, tokens: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         w, h, hw, _ = _answered(docs, back, deleted=True)
         pair = np.divide(hw, h, out=np.zeros(len(h)), where=h > 0) * (words + 1)
         single = w / max(tokens, 1) * (words + 1)
-        cells, n = np.unique((bucket_of(h) * 1000 + _cell(pair)) * 1000 + _cell(single), return_counts=True)
-        return pa.table([pa.array(cells), pa.array(n)], names=["cell", "n"])
+        found, n = np.unique((bucket_of(h) * cells + _cell(pair, steps)) * cells + _cell(single, steps), return_counts=True)
+        return pa.table([pa.array(found), pa.array(n)], names=["cell", "n"])
 
     return run
 
 
-def interpolate(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+def interpolate(cells: np.ndarray, n: np.ndarray, rounds: int = 60, steps: int = STEPS) -> np.ndarray:
     """Weights by bucket (uniform, single word, pair) that make the deleted tokens likeliest, by expectation-maximisation."""
-    bucket = cells // 1_000_000
-    back = lambda x: np.where(x > 0, 2.0 ** ((x - 401) / STEPS), 0.0)
-    estimates = np.stack([np.ones(len(cells)), back(cells % 1000), back(cells // 1000 % 1000)], axis=1)
+    base = 2 * OCTAVES * steps + 2
+    bucket = cells // (base * base)
+    back = lambda x: np.where(x > 0, 2.0 ** ((x - OCTAVES * steps - 1) / steps), 0.0)
+    estimates = np.stack([np.ones(len(cells)), back(cells % base), back(cells // base % base)], axis=1)
     weights = np.tile([0.1, 0.4, 0.5], (BUCKETS, 1))
     weights[0] = [0.2, 0.8, 0.0]
     start = weights.copy()
@@ -175,7 +184,7 @@ def _scores(kind: pa.DataType, words: int, tokens: int, weights: np.ndarray, nam
     return run
 
 
-def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held_out: int = 2, deleted: int = 3, chunk_text: int = C.CHUNK_TEXT, bucket_keys: int = C.BUCKET_KEYS) -> DataFrame:
+def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held_out: int = 2, deleted: int = 3, chunk_text: int = C.CHUNK_TEXT, bucket_keys: int = C.BUCKET_KEYS, steps: int = STEPS) -> DataFrame:
     """Scores every text with a model of the texts whose crc32(id as text) mod ``parts`` is not ``held_out``.
 
     The training texts of part ``deleted`` serve to learn the weights. Returns id_col, held_out, n_tokens, n_known,
@@ -196,9 +205,9 @@ def fit_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = F.col("chunk") >= first
     cells = (
         texts.where(apart).groupBy("chunk").cogroup(answers.where(apart).groupBy("chunk"))
-        .applyInArrow(_histogram(sums["words"], sums["tokens"] - sums["deleted"]), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        .applyInArrow(_histogram(sums["words"], sums["tokens"] - sums["deleted"], steps), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     ).collect()
-    weights = interpolate(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float))
+    weights = interpolate(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], float), steps=steps)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(kind, sums["words"], sums["tokens"], weights, names), schema)
