@@ -12,7 +12,7 @@ def cosine(text):
     """The best cosine of a stretch to any template."""
     q = {k: n * IDF.get(k, UNKNOWN) for k, n in Counter(L.tokens(text)).items()}
     norm = math.sqrt(sum(x * x for x in q.values()))
-    shared = [(n, v) for n, v in VECTORS if len(q.keys() & v.keys()) >= L.least_shared(len(v))]
+    shared = [(n, v) for n, v in VECTORS if len((q.keys() & v.keys()) - L.COMMON) >= L.least_shared(len(v.keys() - L.COMMON))]
     return min(((-round(sum(x * v.get(k, 0) for k, x in q.items()) / norm, 9), n) for n, v in shared), default=(0, None)) if q else (0, None)
 
 

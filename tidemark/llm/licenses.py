@@ -2,7 +2,7 @@
 
 A text is looked at as a whole, by paragraphs (the lines between blank ones, joined, without the marks of comments), by lines and
 by sentences. Each of these is compared with all templates, whole texts of licences and the headers and statements that refer to
-them, by the cosine of sparse TF-IDF vectors, and has to share four words and a quarter of the words with it; identifiers of the SPDX kind count as they are. A
+them, by the cosine of sparse TF-IDF vectors, and has to share four of its uncommon words and a quarter of them; identifiers of the SPDX kind count as they are. A
 stretch can only do so if it holds one of some words of the template: without these the rest of the template is shorter than
 the threshold, or too few words are left to share. Stretches without any such word are left out first, which loses nothing; the
 words are chosen so that ordinary text seldom has them.
@@ -81,9 +81,9 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 THRESHOLD = 0.6
-#: Words that a stretch and a template have to share, or all of the template's if these are fewer; and a quarter of its words.
+#: Uncommon words that a stretch and a template have to share, or all of the template's if these are fewer; and a quarter of them.
 SHARED = 4
-# Common words of languages that licences or texts are written in; they are the last to be looked for.
+# Common words of languages that licences or texts are written in.
 COMMON = frozenset(
     "a about after all also an and any are as at be been but by can com could de der die do el en first for from free had has have he her his how http https i if in inc into is it its la may mit more most my new no not of on one only or "
     "org other our out over que shall she so some such than that the their them then there they this time to two under und up use was we were what when which who will with work would www you your".split()
@@ -122,7 +122,7 @@ def vectors_of(templates) -> list[tuple[str, dict[str, float]]]:
 
 
 def least_shared(n: int) -> int:
-    """Of the n words of a template, those that a match has to share."""
+    """Of the n uncommon words of a template, those that a match has to share."""
     return max(min(SHARED, n), -(-n // 4))
 
 
@@ -131,12 +131,13 @@ def anchors(templates, threshold: float) -> list[str]:
     or has fewer words left than a match has to share."""
     found = set()
     for _, vector in vectors_of(templates):
-        least = least_shared(len(vector))
-        words = sorted(vector.items(), key=lambda wx: (wx[0] in COMMON or len(wx[0]) < 3, -wx[1], wx[0]))
-        for k, (w, x) in enumerate(words):
-            if sum(y * y for _, y in words[k:]) < (threshold - 1e-9) ** 2 or len(words) - k < least:
+        rare = sorted((w for w in vector if w not in COMMON), key=lambda w: (len(w) < 3, -vector[w], w))
+        left = sum(x * x for x in vector.values())
+        for k, w in enumerate(rare):
+            if left < (threshold - 1e-9) ** 2 or len(rare) - k < least_shared(len(rare)):
                 break
             found.add(w)
+            left -= vector[w] ** 2
     return sorted(found)
 
 
@@ -155,8 +156,7 @@ def stretches(text: Column, gate: str) -> Column:
     sentences = F.split(plain, r"(?<=[.!?;])\s+|\r?\n")
     paragraphs = F.split(plain, r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")
     holds = lambda xs: F.filter(xs, lambda x: F.lower(x).rlike(gate))
-    found = F.array_distinct(F.concat(holds(sentences), holds(lines), holds(paragraphs), F.array(plain)))
-    return F.when(F.lower(text).rlike(gate), found)
+    return F.array_distinct(F.concat(holds(sentences), holds(lines), holds(paragraphs), F.array(plain)))
 
 
 def ancestors(directory: Column) -> Column:
@@ -171,15 +171,15 @@ def own_licences(files: DataFrame, templates, threshold: float) -> DataFrame:
     spark = files.sparkSession
     # A bounded list: the templates' words, and the words of one stretch after the other, are joined by word.
     idfs = idf_of(templates)
-    words = [(w, float(x), i, n, idfs[w], least_shared(len(v))) for i, (n, v) in enumerate(vectors_of(templates)) for w, x in v.items()]
-    table = spark.createDataFrame(words, "w string, x double, t int, name string, idf double, least int")
+    words = [(w, float(x), i, n, idfs[w], w not in COMMON, least_shared(sum(y not in COMMON for y in v))) for i, (n, v) in enumerate(vectors_of(templates)) for w, x in v.items()]
+    table = spark.createDataFrame(words, "w string, x double, t int, name string, idf double, rare boolean, least int")
     gate = gate_of(anchors(templates, threshold))
     texts = files.where(F.col("text").isNotNull())
-    cut = texts.select("key", F.length(F.regexp_replace("text", r"\s", "")).alias("whole"), F.posexplode(stretches(F.col("text"), gate)).alias("s", "stretch"))
+    cut = texts.where(F.lower("text").rlike(gate)).select("key", F.length(F.regexp_replace("text", r"\s", "")).alias("whole"), F.posexplode(stretches(F.col("text"), gate)).alias("s", "stretch"))
     counted = cut.select("key", "s", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("key", "s", "w").agg(F.count("*").alias("n"))
     weighed = counted.join(F.broadcast(table.select("w", "idf").distinct()), "w", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown(templates))))
     norms = weighed.groupBy("key", "s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.select("key", "s", "w", F.col("x").alias("q")).join(F.broadcast(table), "w").groupBy("key", "s", "t", "name", "least").agg(F.sum(F.col("q") * F.col("x")).alias("dot"), F.count("*").alias("common")).where("common >= least")
+    dots = weighed.select("key", "s", "w", F.col("x").alias("q")).join(F.broadcast(table), "w").groupBy("key", "s", "t", "name", "least").agg(F.sum(F.col("q") * F.col("x")).alias("dot"), F.count_if("rare").alias("shared")).where("shared >= least")
     cosines = dots.join(norms, ["key", "s"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= threshold)
     sizes = cut.select("key", "s", "whole", (2 * F.length(F.regexp_replace("stretch", r"\s", "")) >= F.col("whole")).alias("most"))
     stated = cosines.join(sizes, ["key", "s"]).select("key", "score", "name", "most")
