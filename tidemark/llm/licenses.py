@@ -25,7 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, pick
+from tidemark.llm.common import cut, pick
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -175,13 +175,14 @@ def own_licences(files: DataFrame, templates, threshold: float) -> DataFrame:
     table = spark.createDataFrame(words, "w string, x double, t int, name string, idf double, rare boolean, least int")
     gate = gate_of(anchors(templates, threshold))
     texts = files.where(F.col("text").isNotNull())
-    cut = texts.where(F.lower("text").rlike(gate)).select("key", F.length(F.regexp_replace("text", r"\s", "")).alias("whole"), F.posexplode(stretches(F.col("text"), gate)).alias("s", "stretch"))
-    counted = cut.select("key", "s", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("key", "s", "w").agg(F.count("*").alias("n"))
+    # The stretches, few as they are, are written once: three sums start from them.
+    held = cut(texts.where(F.lower("text").rlike(gate)).select("key", F.length(F.regexp_replace("text", r"\s", "")).alias("whole"), F.posexplode(stretches(F.col("text"), gate)).alias("s", "stretch")))
+    counted = held.select("key", "s", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("w")).groupBy("key", "s", "w").agg(F.count("*").alias("n"))
     weighed = counted.join(F.broadcast(table.select("w", "idf").distinct()), "w", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unknown(templates))))
     norms = weighed.groupBy("key", "s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.select("key", "s", "w", F.col("x").alias("q")).join(F.broadcast(table), "w").groupBy("key", "s", "t", "name", "least").agg(F.sum(F.col("q") * F.col("x")).alias("dot"), F.count_if("rare").alias("shared")).where("shared >= least")
     cosines = dots.join(norms, ["key", "s"]).withColumn("score", F.col("dot") / F.col("norm")).where(F.col("score") >= threshold)
-    sizes = cut.select("key", "s", "whole", (2 * F.length(F.regexp_replace("stretch", r"\s", "")) >= F.col("whole")).alias("most"))
+    sizes = held.select("key", "s", "whole", (2 * F.length(F.regexp_replace("stretch", r"\s", "")) >= F.col("whole")).alias("most"))
     stated = cosines.join(sizes, ["key", "s"]).select("key", "score", "name", "most")
     ids = {n.lower(): n for n, _ in templates}
     known = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
