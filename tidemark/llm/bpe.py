@@ -27,7 +27,7 @@ from tidemark.llm.common import pick, portions
 
 VOCABULARY = "word_bpe_49k.json"
 #: Each Python worker keeps at most twice as many words with their tokens, and as many neighbours.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 75_000
 KNOWN_PAIRS = 100_000
 #: Tokens decoded at a time.
 DECODE_TOKENS = 1 << 16

@@ -288,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([t.astype(np.int32).tobytes() for t, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], names=["id", "y", "t", "c"])
 
     rows = chosen.mapInArrow(bags, f"id {docs.schema['id'].dataType.simpleString()}, y int, t binary, c binary").toArrow().to_pylist()
+    shared.destroy()  # the model has the words of its own
     # Examples without words are not in the index. The others lie in the order of their vectors and labels, so that ids decide nothing.
     blank, rows = [r["y"] for r in rows if not r["t"]], sorted((r for r in rows if r["t"]), key=lambda r: (r["t"], r["c"], r["y"], r["id"]))
     first = np.cumsum([0] + [len(r["t"]) // 4 for r in rows])
@@ -300,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k:
     prior = n1 / n
     sent = spark.sparkContext.broadcast(Model(known, weight, index, y, ids, prior, (sum(blank) + prior) / (len(blank) + 1), k))
     step = max(1, -(-len(ids) // calibrate_on))
-    del index, terms, counts, x
+    del index, terms, counts, x, known
+    pa.default_memory_pool().release_unused()
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
