@@ -21,11 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of Spark's default size hold tens of MB of texts, several times over; a size that was chosen stays.
+
+    It is a setting of the session, as a returned DataFrame is planned by whoever runs it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Just these columns, found by their exact names and renamed to the keywords.
 
     Other columns are dropped, whatever their names; a name that differs only in case does not clash.
     """
+    bounded_batches(df.sparkSession)
     names = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return plain.select(*[F.col(f"_c{names.index(c)}").alias(a) for a, c in columns.items()])
