@@ -1,6 +1,7 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,21 @@ def test_point_in_time_summary_never_looks_ahead(spark):
     assert (cut.observed_trade_count, cut.total, cut.history_truncated) == (1, 30, 1)
 
 
+def test_point_in_time_wallets_keep_every_moment_and_row(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as e
+
+    rows = [(0, 0, 1, "a", 1.0, '{"k": 1}'), (1, 60, 1, "a", 2.0, "{}"), (2, 120, 1, "b", 3.0, '{"k": 2}'), (3, 180, 1, None, 4.0, '{"k": 2}'), (4, 240, 1, "b", 5.0, '{"k": 2}'), (5, 60, None, "a", 9.0, '{"k": 1}'), (6, None, 2, "a", 9.0, '{"k": 1}')]
+    spark.createDataFrame([(i, *r) for i, *r in rows], "event_id long, ts int, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_700_000_000)).write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute("set timezone = 'UTC'")
+    duck.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    monkeypatch.setattr(enrich.point_in_time_summary, "__defaults__", (30, 2, "proxy_wallet"))
+    got = e.queries()["d10_point_in_time_wallets"](spark, str(tmp_path))
+    want = duck.execute(e.oracle_sql()["d10_point_in_time_wallets"])
+    names = [x[0] for x in want.description]
+    assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_wallet_summary_bounds(spark):
     rows = [("w", "m1", "o1", "BUY", 200, 100_000_000, 250_000), ("w", "m2", "o2", "SELL", 999_999, 400_000_000, 500_000), ("w", "m1", "o1", "BUY", 1_000_001, 1, 1), ("w", "m1", "o1", "BUY", 300, None, None)]
     t = spark.createDataFrame(rows, "proxy_wallet string, condition_id string, asset_id string, side string, trade_ts long, notional_microusd long, price_ppm long")

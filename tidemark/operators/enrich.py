@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 from collections import Counter
 
@@ -71,17 +72,19 @@ HISTORY_CAP = 50_000
 _AT_TIME = "observed_trade_count long, distinct_market_count long, distinct_outcome_count long, active_days long, total long, mean long, median long, p90 long, most long, stddev long, mean_price long, cheap_trade_count long, last_7d_trade_count long, last_7d_notional long, seconds_since_last long, largest_market_share_ppm long, buy_count long, sell_count long, buy_notional long, history_truncated int"
 
 
-def point_in_time_summary(trades: DataFrame, history: DataFrame, days: int = 30, cap: int = HISTORY_CAP, key: str = "proxy_wallet") -> DataFrame:
+def point_in_time_summary(trades: DataFrame, history: DataFrame, days: int = 30, cap: int | None = HISTORY_CAP, key: str = "proxy_wallet") -> DataFrame:
     """For each (wallet, moment) of trades the summary of the wallet's history in [moment - days, moment - 1].
 
     No row at or after the moment counts, so nothing looks ahead. Time is cut into slices of the window's length, and a
     moment looks at its own slice and the one before: a wallet's history is many groups, each of two slices at most, and
     moves over its moments in order. History rows: wallet, trade_ts, condition_id, asset_id, side, notional_microusd,
-    price_ppm; rows without an amount or price do not count. Moments without history have counts of 0 and null figures.
+    price_ppm; rows without an amount or price do not count, nor do null markets and assets count as one more. Moments without
+    history, and those without a wallet or time, have counts and a total of 0 and null figures. ``cap`` None: all of the window.
     """
     span = days * S.DAY
     slice_ = F.floor(F.col("trade_ts") / span)
-    moments = trades.select(F.col(key).alias("w"), "trade_ts", slice_.alias("s")).where("w is not null and trade_ts is not null").distinct()
+    asked_for = trades.select(F.col(key).alias("w"), "trade_ts", slice_.alias("s"))
+    moments = asked_for.where("w is not null and trade_ts is not null").distinct()
     rows = history.where(F.col("notional_microusd").isNotNull() & F.col("price_ppm").isNotNull() & F.col("trade_ts").isNotNull()).select(
         F.col(key).alias("w"), F.col("trade_ts").alias("t"), F.xxhash64("condition_id").alias("market"), F.xxhash64("asset_id").alias("asset"), (F.col("side") == "BUY").alias("buy"),
         F.col("notional_microusd").alias("v"), F.col("price_ppm").alias("p"), F.explode(F.array(slice_, slice_ + 1)).alias("s"),
@@ -101,24 +104,33 @@ def point_in_time_summary(trades: DataFrame, history: DataFrame, days: int = 30,
         ends = np.searchsorted(t, moments_, side="left")
         begins = np.searchsorted(t, np.maximum(1, moments_ - span), side="left")
         window = _Window()
+        amounts = [0, *itertools.accumulate(past["v"].tolist())]
         columns = list(zip(t.tolist(), *[past[c].tolist() for c in ("v", "p", "market", "asset")], past["buy"].fillna(False).tolist(), strict=True))
         out, low, high = [], 0, 0
         for at, a, b in zip(moments_.tolist(), begins.tolist(), ends.tolist(), strict=True):
-            start = max(a, b - cap)
+            start = a if cap is None else max(a, b - cap)
             while high < b:
                 window.add(columns[high])
                 high += 1
             while low < start:
                 window.remove(columns[low])
                 low += 1
-            recent = int(np.searchsorted(t, at - 7 * S.DAY, side="left"))
-            out.append(window.figures(at, t[b - 1].item() if b > start else None, columns[max(recent, start) : b], start > a))
+            recent = max(start, int(np.searchsorted(t, at - 7 * S.DAY, side="left")))
+            out.append(window.figures(at, t[b - 1].item() if b > start else None, b - recent, amounts[b] - amounts[recent], start > a))
         found = pd.DataFrame(out, columns=names).astype("Int64")
         found.insert(0, "trade_ts", moments_)
         found.insert(0, key, asked["w"].to_numpy())
         return found
 
-    return moments.groupBy("w", "s").cogroup(rows.groupBy("w", "s")).applyInPandas(run, f"{key} {kind}, trade_ts long, {_AT_TIME}")
+    found = moments.groupBy("w", "s").cogroup(rows.groupBy("w", "s")).applyInPandas(run, f"{key} {kind}, trade_ts long, {_AT_TIME}")
+    # Moments that no history can be before gather in no group.
+    lost = asked_for.where("w is null or trade_ts is null").select(F.col("w").alias(key), F.col("trade_ts").cast("long").alias("trade_ts")).distinct()
+    empty = zip(_AT_TIME.split(", "), _Window().figures(0, None, 0, 0, False), strict=True)
+    return found.union(lost.select(key, "trade_ts", *[F.lit(x).cast(n.split()[1]).alias(n.split()[0]) for n, x in empty]))
+
+
+#: xxhash64 of null.
+_NULL = 42
 
 
 class _Window:
@@ -160,15 +172,15 @@ class _Window:
         a, b = self.amounts[int(i)], self.amounts[min(int(i) + 1, len(self.amounts) - 1)]
         return int(a + (b - a) * (i - int(i)))
 
-    def figures(self, at: int, last: int | None, week: list[tuple], truncated: bool) -> tuple:
+    def figures(self, at: int, last: int | None, week: int, week_total: int, truncated: bool) -> tuple:
         n = len(self.amounts)
         if not n:
             return (0, 0, 0, 0, 0, *[None] * 6, 0, 0, 0, None, None, 0, 0, 0, int(truncated))
         deviation = math.sqrt(max(0, n * self.squares - self.total * self.total)) / n
         share = max(self.volume.values()) * S.MILLION // self.total if self.total else None
         return (
-            n, len(self.markets), len(self.assets), len(self.days), self.total, self.total // n, self.quantile(0.5), self.quantile(0.9), self.amounts[-1], round(deviation), self.price // n, self.cheap,
-            len(week), sum(r[1] for r in week), at - last, share, self.buys, n - self.buys, self.bought, int(truncated),
+            n, len(self.markets) - (_NULL in self.markets), len(self.assets) - (_NULL in self.assets), len(self.days), self.total, self.total // n, self.quantile(0.5), self.quantile(0.9), self.amounts[-1], round(deviation), self.price // n, self.cheap,
+            week, week_total, at - last, share, self.buys, n - self.buys, self.bought, int(truncated),
         )
 
 
