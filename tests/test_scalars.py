@@ -2,6 +2,7 @@ import hashlib
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,16 @@ def test_books_from_levels_and_back(spark):
     books = book.of_levels(spark.createDataFrame(rows, "k int, side string, price long, size long"), "k", "side", "price", "size")
     got = {(r.k, r.side, r.level_number): (r.price_ppm, r.size_microshares) for r in book.levels(books, "k").collect()}
     assert got == {(1, "ask", 0): (28, 1000), (1, "ask", 1): (30, 1), (1, "bid", 0): (25, 6), (1, "bid", 1): (20, 5), (2, "bid", 0): (9, 9)}
+
+
+def test_cosines_are_rounded_once(spark, tmp_path):
+    import __spark_entry__ as e
+
+    # 0.7454995...: millionths would be 745500, which ends at 746000.
+    rows = [(1, [11.0, -5.0]), (2, [16.0, 5.0]), (4, []), (5, []), (7, [0.0, 0.0]), (8, [1.0, 0.0]), (10, [3.0, 4.0]), (11, [-3.0, -4.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(duck.execute(e.oracle_sql()["b30_b31_vectors"]).fetchall())
+    assert want[0] == (1, 12.08305, 745000)
+    assert sorted(tuple(r) for r in e.queries()["b30_b31_vectors"](spark, str(tmp_path)).collect()) == want

@@ -137,10 +137,13 @@ def b25_b54_reason_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT a.vec_id, round(sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x))), 5) AS norm, CAST(greatest(-1000000, least(1000000, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * 1000) * 1000)) AS BIGINT) AS cosine
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def b30_b31_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine is rounded once, to thousandths: what is rounded to millionths before may end on the other side of a half."""
     e = table(spark, d, "embeddings")
     both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
-    a, b = S.unit(F.col("embedding")), S.unit(F.col("next"))
-    return both.select("vec_id", F.round(F.sqrt(S.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"), (F.round(S.cosine_ppm(a, b) / 1000) * 1000).cast("bigint").alias("cosine"))
+    a, b = F.col("embedding"), F.col("next")
+    norm = F.when(F.size(a) > 0, F.round(F.sqrt(S.dot(a, a)) * 100_000) / 100_000)
+    cosine = F.greatest(F.least(F.round(S.cosine(a, b) * 1000) * 1000, F.lit(S.MILLION)), F.lit(-S.MILLION))
+    return both.select("vec_id", norm.alias("norm"), cosine.cast("bigint").alias("cosine"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 'not_closed' WHEN 1 THEN 'missing_outcomes' WHEN 2 THEN 'outcome_length_mismatch' WHEN 3 THEN 'duplicate_outcomes' WHEN 4 THEN 'ambiguous_outcome_prices' WHEN 5 THEN 'nonterminal_resolution' WHEN 6 THEN 'invalid_outcome_prices' ELSE 'terminal_outcome_prices' END AS quality,
