@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark import scratch
 from tidemark.llm import ngram_join as J
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +72,40 @@ def test_chains_of_links(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_few_links_are_joined_in_two_tables(spark, monkeypatch):
+    """Rounds are plans that the driver keeps: a chain took as many as its length needs."""
+    rows = [(k, k + 1) for k in range(200)] + [(300, 300), (402, 401), (401, 402)]
+    links = spark.createDataFrame(random.sample(rows, len(rows)), "u long, v long")
+    made = []
+    monkeypatch.setattr(J, "cut", lambda df: made.append(df) or scratch.cut(df))
+    got = {r.node: r.root for r in J.components(links).collect()}
+    assert got == {**{k: 0 for k in range(201)}, 401: 401, 402: 401}
+    assert len(made) == 2
+    assert {r.node: r.root for r in J.components(links, at_once=10).collect()} == got
+    assert J.components(links.where("u > 1000")).count() == 0
+
+
+def test_a_large_cluster_meets_in_many_small_blocks(spark, monkeypatch):
+    """Askers met all members of their cluster, of any size, under one key."""
+    random.seed(5)
+    base = [int(x) for x in random.sample(range(1 << 40), 900)]
+    sets = {c: sorted(base[: (8, 30, 200, 800)[c % 4] + c % 3]) for c in range(60)}
+    monkeypatch.setattr(J, "MEMBERS", 4)
+    monkeypatch.setattr(J, "ASKERS", 2)
+    monkeypatch.setattr(J, "_block_links", lambda batches: (pa.RecordBatch.from_pydict({"u": [len(b["members"][k])], "v": [max(x["n"] for x in b["members"][k].as_py())]}, schema=pa.schema({"u": pa.int64(), "v": pa.int64()})) for b in batches for k in range(b.num_rows)))
+    item = lambda c: (c, len(sets[c]), len(sets[c]))
+    kind = "struct<c:long,n:long,m:long>"
+    asked = spark.createDataFrame([(item(c), c, 0) for c in sets], f"v {kind}, rv long, cluster long")
+    members = spark.createDataFrame([(item(c), c, 0, len(sets)) for c in sets], f"x {kind}, root long, cluster long, size long")
+    tokens = spark.createDataFrame([(c, len(t), J.pack_tokens(np.array(t))) for c, t in sets.items()], "c long, n long, tokens binary")
+    met = J._within_clusters(asked, members, tokens).collect()
+    assert max(r.u for r in met) <= 15 and len({r.v for r in met}) > 4
+    monkeypatch.undo()
+    got = {(r.u, r.v) for r in J._within_clusters(asked, members, tokens).collect()}
+    links = {(u, v) for u in sets for v in sets if u != v and 100 * len({*sets[u]} & {*sets[v]}) >= 75 * len({*sets[u]} | {*sets[v]})}
+    assert got == links
+
+
 def test_prefixes_share_an_entry():
     import numpy as np
 

@@ -9,8 +9,8 @@ is extended, in pairs within a class; classes are finer for larger sets, by band
 1. Documents with equal sets are one class with one representative.
 2. Frequencies of all shingles are counted by chunks and buckets (see counts). Tokens of frequency 1 match nothing, so most
    documents need no index entry; the others keep their shared tokens under dense numbers.
-3. In each index list all members are verified against the smallest; components of these links are found by alternating
-   large and small stars. Who is not in a list's largest component then is verified against one of its members, and who
+3. In each index list all members are verified against the smallest; components of these links are found at once or, if
+   there are many, by alternating large and small stars. Who is not in a list's largest component then is verified against one of its members, and who
    is still outside against all members of other components, so no link between components is missed; links within a
    component add nothing and are not looked for.
 
@@ -37,6 +37,8 @@ PERCENT = 75
 RARE = 64
 #: Members and askers of a cluster in a block.
 MEMBERS, ASKERS = 256, 64
+#: Links between documents that a task joins to components at once; more are joined in rounds.
+AT_ONCE = 250_000
 #: Entries of a set that tell which list of several in common is the first.
 FIRST = 16
 _STEPS = mix(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -188,20 +190,27 @@ def could_link(u: Column, v: Column) -> Column:
 
 
 def _within_clusters(asked: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Askers (v, rv, cluster) and members (x, root, cluster, size) to a link (u, v) for each asker, block of members of its
+    """Askers (v, rv, cluster) and members (x, root, cluster) to a link (u, v) for each asker, block of members of its
     cluster and other component.
 
-    Askers and members meet in blocks, so that the pairs are never rows.
+    Askers and members meet in blocks, so that the pairs are never rows. Blocks are of one band of sizes, and an asker goes
+    to those of its own and the adjacent bands; each block of members is a key of its own, so a large cluster is many.
     """
     tokens = tokens.select(F.col("c").alias("_c"), "tokens")
+    band_of = lambda n: F.floor(F.ln(n) / F.ln(F.lit(100 / PERCENT)) + 1e-9)
 
-    def packed(rows: DataFrame, x: str, root: str, size: int, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64(F.col(f"{x}.c")), F.ceil(F.col("size") / size).cast("long"))
-        full = rows.join(tokens, F.col(f"{x}.c") == F.col("_c")).withColumn("_b", block)
-        return full.groupBy("cluster", "_b").agg(F.collect_list(F.struct(f"{x}.c", f"{x}.n", f"{x}.m", F.col(root).alias("root"), "tokens")).alias(name)).drop("_b")
+    def packed(rows: DataFrame, x: str, root: str, block: Column, name: str, *more: Column) -> DataFrame:
+        full = rows.join(tokens, F.col(f"{x}.c") == F.col("_c")).withColumn("_b", F.pmod(F.xxhash64(F.col(f"{x}.c")), block))
+        return full.groupBy("cluster", "band", "_b").agg(F.collect_list(F.struct(f"{x}.c", f"{x}.n", f"{x}.m", F.col(root).alias("root"), "tokens")).alias(name), *more)
 
-    askers = packed(asked.join(asked.groupBy("cluster").agg(F.count("*").alias("size")), "cluster"), "v", "rv", ASKERS, "askers")
-    return askers.join(packed(members.join(asked.select("cluster").distinct(), "cluster", "left_semi"), "x", "root", MEMBERS, "members"), "cluster").select("askers", "members").mapInArrow(_block_links, "u long, v long")
+    members = members.join(asked.select("cluster").distinct(), "cluster", "left_semi").withColumn("band", band_of(F.col("x.n")))
+    blocks = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
+    own = band_of(F.col("v.n"))
+    asked = asked.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).join(blocks, ["cluster", "band"])
+    asked = asked.join(asked.groupBy("cluster", "band").agg(F.ceil(F.count("*") / ASKERS).alias("parts")), ["cluster", "band"])
+    askers = packed(asked, "v", "rv", F.col("parts"), "askers", F.first("blocks").alias("blocks")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = askers.join(packed(members.join(blocks, ["cluster", "band"]), "x", "root", F.col("blocks"), "members"), ["cluster", "band", "_b"])
+    return met.select("askers", "members").mapInArrow(_block_links, "u long, v long")
 
 
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +237,40 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(u, v) to (node, root) of every node in a link, by alternating large and small stars; the root is the smallest node."""
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links to (node, root), by union-find."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = top(u), top(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(links: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(u, v) to (node, root) of every node in a link; the root is the smallest node of the component.
+
+    Up to ``at_once`` different links are joined in one task; more by alternating large and small stars, with a plan and an
+    intermediate table a round.
+    """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(edges)
+    if before[0] <= at_once:
+        return cut(edges.coalesce(1).mapInArrow(_rooted, "node long, root long"))
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
